@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .secrets import op6_secrets
 from .simhash import op10_simhash
 
 QUERIES = {
+    "op6_secrets": op6_secrets,
     "op10_simhash": op10_simhash,
 }
 
