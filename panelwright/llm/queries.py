@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from . import quality_rules
+from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
 from .simhash import op10_simhash
 
 QUERIES = {
     "op6_secrets": op6_secrets,
+    "op8_quality_rules": op8_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": quality_rules.ORACLE,
+}
