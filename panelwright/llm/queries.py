@@ -6,8 +6,10 @@ from . import quality_rules
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
 from .simhash import op10_simhash
+from .warc import op5_warc
 
 QUERIES = {
+    "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op8_quality_rules": op8_quality_rules,
     "op10_simhash": op10_simhash,
