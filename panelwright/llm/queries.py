@@ -6,9 +6,11 @@ from . import quality_rules
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
 from .simhash import op10_simhash
+from .url_filters import op2_url_filters
 from .warc import op5_warc
 
 QUERIES = {
+    "op2_url_filters": op2_url_filters,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op8_quality_rules": op8_quality_rules,
