@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import quality_rules
+from .classifier import op3_classifier
+from .decontamination import op9_decontamination
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
 from .simhash import op10_simhash
@@ -10,10 +12,12 @@ from .url_filters import op2_url_filters
 from .warc import op5_warc
 
 QUERIES = {
+    "op3_classifier": op3_classifier,
     "op2_url_filters": op2_url_filters,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 
