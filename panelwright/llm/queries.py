@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import quality_rules
 from .classifier import op3_classifier
 from .decontamination import op9_decontamination
+from .mixing import op7_mixing
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
 from .simhash import op10_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
