@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import quality_rules
 from .classifier import op3_classifier
 from .decontamination import op9_decontamination
+from .lm import op1_lm
 from .mixing import op7_mixing
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
@@ -13,6 +14,7 @@ from .url_filters import op2_url_filters
 from .warc import op5_warc
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op3_classifier": op3_classifier,
     "op2_url_filters": op2_url_filters,
     "op5_warc": op5_warc,
