@@ -10,6 +10,7 @@ from .mixing import op7_mixing
 from .quality_rules import op8_quality_rules
 from .secrets import op6_secrets
 from .simhash import op10_simhash
+from .substrings import op4_substrings
 from .url_filters import op2_url_filters
 from .warc import op5_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_lm": op1_lm,
     "op3_classifier": op3_classifier,
     "op2_url_filters": op2_url_filters,
+    "op4_substrings": op4_substrings,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
