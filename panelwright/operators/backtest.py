@@ -63,6 +63,13 @@ def score_dates(frame: DataFrame, config: AppConfig, start: str | None = None, e
     return found
 
 
+_NEEDED = ["volatility_20_cs", "amihud_20_cs", "date_idx", "forward_return", "target_excess_return", "target_rank"]
+# The columns of each report, in order; those a frame lacks are left out.
+CANDIDATES = (
+    "date code ts_code name industry market exchange candidate_position global_rank selection_score alpha_percentile model_score selection_reason close"
+    " avg_amount_liquidity volatility_20 momentum_5 momentum_20 momentum_60 amount_ratio_20 price_position_20 is_limit_up is_limit_down"
+).split()
+UNIVERSE = "date code ts_code name industry market exchange global_rank selection_score alpha_percentile model_score close avg_amount_liquidity eligible".split()
 _HELD = ["date", "code", "industry", "candidate_position", "global_rank", "selection_score", "forward_return", "target_excess_return", "selection_reason"]
 
 
@@ -76,15 +83,26 @@ class CandidateSelector:
     def prepare_from_csv(self, spark: SparkSession, path: str) -> PreparedData:
         return self.prepare(load_market_data(spark, path, self.config))
 
+    @staticmethod
+    def _lean(prepared: PreparedData) -> PreparedData:
+        """The columns of the model, the reports and the metrics, persisted."""
+        wanted = dict.fromkeys([*prepared.feature_columns, *_NEEDED, *CANDIDATES, *UNIVERSE])
+        return PreparedData(prepared.frame.select(*(c for c in wanted if c in prepared.frame.columns)).persist(), prepared.feature_columns)
+
     def select_prepared(self, prepared: PreparedData, as_of: str | None = None, previous: Iterable[str] | None = None) -> SelectionResult:
-        """Of one date. The scored universe is persisted: it is at most the rows
-        of that date, and both results read it."""
-        scored = fit_and_score(prepared, self.config, as_of, self.scorer)
+        """Of one date. The columns that are needed are persisted while the model
+        is fitted (guards, window and scores read them), and the scored universe
+        for its results: it is at most the rows of that date."""
+        lean = prepared if prepared.frame.is_cached else self._lean(prepared)
+        scored = fit_and_score(lean, self.config, as_of, self.scorer)
         universe = scored.rows.persist()
+        eligible = universe.count()
+        if lean is not prepared:
+            lean.frame.unpersist()
         basket = constrained_top_k(universe, self.config.selection, previous)
         d = scored.diagnostics
         found = SelectionDiagnostics(
-            d.model_type, scored.score_date, scored.training_start, scored.training_end, scored.training_days, d.rows, universe.count(), basket.count(), d.active_features, d.trained_trees, industry_cap(self.config.selection)
+            d.model_type, scored.score_date, scored.training_start, scored.training_end, scored.training_days, d.rows, eligible, basket.count(), d.active_features, d.trained_trees, industry_cap(self.config.selection)
         )
         return SelectionResult(basket.orderBy("candidate_position"), universe.orderBy("global_rank"), found)
 
@@ -96,8 +114,7 @@ class CandidateSelector:
         """One fit per period over the persisted features. Only the basket
         buffer runs from period to period: the driver carries its codes (top_k
         at most); rows stay on executors, and all metrics are one aggregation."""
-        keep = dict.fromkeys([*prepared.feature_columns, "volatility_20_cs", "amihud_20_cs", "date", "date_idx", "code", "industry", "eligible", "forward_return", "target_excess_return", "target_rank"])
-        lean = PreparedData(prepared.frame.select(*keep).persist(), prepared.feature_columns)
+        lean = self._lean(prepared)
         try:
             dates = score_dates(lean.frame, self.config, start_date, end_date)
             universes, baskets, before = [], [], None

@@ -11,18 +11,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from .operators.backtest import BacktestResult, SelectionResult
+from .operators.backtest import CANDIDATES, UNIVERSE, BacktestResult, SelectionResult
 from .operators.expressions import SCHEMA_VERSION
 from .operators.screening import FeatureScreeningResult
 from .sources.proposals import GenerationResult
 
-# The columns of each report, in order; those a frame lacks are left out.
-CANDIDATES = (
-    "date code ts_code name industry market exchange candidate_position global_rank selection_score alpha_percentile model_score selection_reason close"
-    " avg_amount_liquidity volatility_20 momentum_5 momentum_20 momentum_60 amount_ratio_20 price_position_20 is_limit_up is_limit_down"
-).split()
-UNIVERSE = "date code ts_code name industry market exchange global_rank selection_score alpha_percentile model_score close avg_amount_liquidity eligible".split()
-
 
 def _plain(x: Any) -> Any:
     """NaN and infinities as null: they aren't JSON."""
