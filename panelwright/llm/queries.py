@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, warc
 from .classifier import op3_classifier
 from .decontamination import op9_decontamination
 from .lm import op1_lm
@@ -28,5 +28,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }

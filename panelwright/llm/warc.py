@@ -361,3 +361,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one archive a task: a written list of names is small
     names = written.select("name").repartitionByRange(max(1, written.count()), "name")
     return read_archives(names, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: What the archives must give back, without archives.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, CAST(unhex(h) AS BIT)::VARCHAR AS bits FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+    list_aggregate(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST(('000' || substring(bits, CAST(i * 5 + 1 AS BIGINT), 5))::BIT::UTINYINT AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
+"""
