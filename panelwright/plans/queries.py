@@ -17,6 +17,7 @@ from ..operators import metrics as mt
 from ..operators import model as md
 from ..operators import selection as sl
 from ..operators.backtest import CandidateSelector
+from ..operators.backtest import score_dates as backtest_dates
 from ..operators.expressions import FeatureDefinition, compile_features
 from ..operators.screening import coverage, screen_feature_definitions
 from ..sources import market as mk
@@ -235,6 +236,22 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.build_features(panel(spark, sf_dir), config()).frame.select(*_KEY, "feature_ready", "eligible")
 
 
+@_query(f"{_RAW_SQL}, {_LABEL_SQL.format(source='raw')}, {_ELIGIBLE_SQL.format(source='labelled')}, e AS (SELECT max(date_idx) - 6 AS last FROM panel) SELECT date, count(*) AS n FROM eligible, e WHERE eligible AND target_rank IS NOT NULL AND date_idx BETWEEN last - 119 AND last GROUP BY date")
+def training_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by date that a model of the last date may be trained on."""
+    c = config()
+    frame = ft.build_features(panel(spark, sf_dir), c).frame
+    last = sl.as_of_index(frame)[1] - c.features.prediction_horizon - 1
+    window = frame.where(F.col("date_idx").between(last - c.model.train_lookback_days + 1, last) & F.col("eligible") & F.col("target_rank").isNotNull())
+    return window.groupBy("date").agg(F.count("*").alias("n"))
+
+
+@_query("x AS (SELECT date, date_idx FROM calendar, (SELECT count(*) AS n FROM calendar) WHERE date_idx >= 66 AND date_idx < n - 6 AND (date_idx - 66) % 20 = 0 ORDER BY date_idx DESC LIMIT 4) SELECT * FROM x")
+def score_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backtest_dates(panel(spark, sf_dir), config())
+    return spark.createDataFrame(found, "date string, date_idx int").select(F.col("date").cast("date").alias("date"), "date_idx")
+
+
 # --- ingest rules ---
 
 
