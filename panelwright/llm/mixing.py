@@ -97,8 +97,8 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int =
 
 
 def numbered(docs: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """docs with the column `name`: 0, 1, 2, ... within each key, in the order of
-    a hash of `order`. A source is cut into buckets by the hash's first bits, so
+    """docs with the column `name`: 0, 1, 2, ... within each key (not null), in
+    the order of a hash of `order`. A source is cut into buckets by the hash's first bits, so
     that no task numbers all rows of a source: rows are numbered within their
     bucket, and buckets are offset by a running sum over their counts."""
     columns = docs.columns
@@ -109,7 +109,8 @@ def numbered(docs: DataFrame, key: str, order: str, name: str) -> DataFrame:
     offsets = counts.select(F.col(key).alias("key of mix"), F.col("bucket of mix").alias("at of mix"), F.coalesce(before, F.lit(0)).alias("before of mix"))
     within = W.partitionBy(key, "bucket of mix").orderBy("hash of mix", order)
     ranked = rows.withColumn("rank of mix", F.row_number().over(within) - 1)
-    joined = ranked.join(offsets, F.col(key).eqNullSafe(F.col("key of mix")) & (F.col("bucket of mix") == F.col("at of mix")))
+    # by the very columns that the window is partitioned by: rows move once
+    joined = ranked.join(offsets, (F.col(key) == F.col("key of mix")) & (F.col("bucket of mix") == F.col("at of mix")))
     return joined.select(*columns, (F.col("rank of mix") + F.col("before of mix")).cast("long").alias(name))
 
 
