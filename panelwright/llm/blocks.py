@@ -6,7 +6,7 @@ happens to an executor; reading them by number needs no shuffle of text."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +19,13 @@ from ._common import partitions, texts
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
 
-SCHEMA = "block long, ids binary, known binary, sizes binary, text binary"
+SCHEMA = "block long, ids binary, known binary, sizes binary, text binary, extra binary"
 
 
-def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> str:
+def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, extra: Callable[[bytes, np.ndarray], bytes] | None = None) -> str:
     """The name of a table with docs (doc_id, text) as blocks: a number; the ids as int64, and whether
-    they are known (not null) as bytes; the texts' sizes as int64, and the texts,
-    compressed. Bucketed by number over as many buckets as shuffles have
+    they are known (not null) as bytes; the texts' sizes as int64; the texts,
+    compressed; and what extra makes of the joined texts and their sizes. Bucketed by number over as many buckets as shuffles have
     partitions, in the session's warehouse; the caller drops it."""
     spark = docs.sparkSession
 
@@ -39,12 +39,14 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> str:
         total = 0
 
         def row() -> pa.RecordBatch:
+            sizes, joined = np.fromiter(map(len, held), np.int64, len(held)), b"".join(held)
             values = [
                 number,
                 np.array([0 if k is None else k for k in ids], np.int64).tobytes(),
                 np.array([k is not None for k in ids], bool).tobytes(),
-                np.fromiter(map(len, held), np.int64, len(held)).tobytes(),
-                packer.compress(b"".join(held)),
+                sizes.tobytes(),
+                packer.compress(joined),
+                extra(joined, sizes) if extra else None,
             ]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(values)], [x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, order: int = 2, prior: float = 8.0, block_b
     train and score each for itself. No rows: no rows."""
     spark = docs.sparkSession
     name = packed(docs, block_bytes)
-    blocks = spark.table(name)
+    blocks = spark.table(name).drop("extra")
     n_blocks = blocks.select("block").count()
     shards = max(partitions(spark), -(-n_blocks * (block_bytes // 6) // SHARD_GRAMS))
 

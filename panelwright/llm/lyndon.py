@@ -24,14 +24,16 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """symbols: the texts one after the other, each closed by its only 0; sizes:
-    their lengths with that. Returns, text by text, the positions in symbols of
+    """symbols (below 2^16): the texts one after the other, each closed by its
+    only 0; sizes: their lengths with that. Returns, text by text, the positions in symbols of
     its suffixes in order."""
     n = len(symbols)
     ends = np.cumsum(sizes)
     base = ends - sizes
     text = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(text * (int(symbols.max(initial=0)) + 1) + symbols, kind="stable").astype(np.int32)
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")  # short integers are sorted by radix
+    narrow = np.uint16 if len(sizes) < 1 << 16 else np.int64
+    order = order[np.argsort(text[order].astype(narrow), kind="stable")].astype(np.int32)
     inverse = np.empty(n, np.int32)
     inverse[order] = np.arange(n, dtype=np.int32)
     # group: where the suffix's group begins in order; size: of the group that begins there
@@ -82,13 +84,13 @@ def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         going = end > low
         end, low = end[going], low[going]
 
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     out[base] = ends - 1
-    free = np.arange(n, dtype=np.int64)  # the next place of the group that begins there
+    free = np.arange(n, dtype=np.int32)  # the next place of the group that begins there
     done = np.zeros(n + 1, bool)
     done[ends - 1] = done[n] = True
     by = np.argsort(-sizes, kind="stable")
-    base_by = base[by]
+    base_by = base[by].astype(np.int32)
     live = np.searchsorted(-sizes[by], -np.arange(int(sizes.max(initial=0))), side="left")
     for i in range(len(live)):
         b = base_by[: int(live[i])]

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ GRAM = 48
 #: Different runs of a k-gram beyond which its windows are spread by hash.
 MANY = 32
 #: Bytes that one batch of suffix arrays takes.
-BATCH = 3 << 20
+BATCH = 2 << 20
 #: Window starts handled at once; places within fit the low bits of a key.
 _SLICE, _BITS = 1 << 21, 22
 
@@ -138,10 +139,15 @@ def repeated_windows(groups: list[list[bytes]], length: int = LENGTH) -> list[li
     return out
 
 
-def _runs_of(sizes: bytes, text: bytes, length: int, gram: int):  # noqa: ANN202
-    found = unpack(sizes, text)
-    joined = b"".join(found)
-    return found, joined, *runs(np.frombuffer(joined, np.uint8), np.frombuffer(sizes, np.int64), length, gram)
+def _held(begin: np.ndarray, count: np.ndarray) -> bytes:
+    """Where a block's runs begin, and their windows, kept with the block."""
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.diff(begin, prepend=0), count]).astype(np.int32).tobytes())
+
+
+def _from_held(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32).astype(np.int64)
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
 
 
 def _batch(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -157,14 +163,14 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: i
     (doc_id, text). Null text counts as empty; repeated rows are documents of
     their own, and so remove each other; texts shorter than `length` lose nothing."""
     spark = docs.sparkSession
-    name = packed(docs, block_bytes)
+    name = packed(docs, block_bytes, lambda joined, sizes: _held(*runs(np.frombuffer(joined, np.uint8), sizes, length, gram)[:2]))
     blocks = spark.table(name)
-    texts = blocks.select("block", "sizes", "text")
 
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, joined, begin, count, key = _runs_of(sizes, text, length, gram)
+                joined = b"".join(unpack(sizes, text))
+                begin, count, key = runs(np.frombuffer(joined, np.uint8), np.frombuffer(sizes, np.int64), length, gram)
                 of = xxhash.xxh64_intdigest
                 whole = np.fromiter((of(joined[a:z]) for a, z in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)), np.uint64, len(begin))
                 yield _batch(
@@ -172,26 +178,27 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: i
                     [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["gram", "whole", "block", "run"],
                 )
 
-    every = texts.mapInArrow(list_runs, "gram long, whole long, block long, run int")
+    every = blocks.select("block", "sizes", "text").mapInArrow(list_runs, "gram long, whole long, block long, run int")
+    # written, so that the join deals both of its sides and can split a frequent k-gram's
     grams = every.groupBy("gram").agg(F.count("*").alias("n"), (F.min("whole") < F.max("whole")).alias("mixed")).where("n > 1").select("gram", "mixed")
-    met = stage(every.join(grams, "gram"), "runs")
+    met = stage(every.join(stage(grams, "grams"), "gram"), "runs")
     kinds = stage(met.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("block", "run")).alias("at")), "kinds")
-    # different runs of one k-gram: their bytes, once each
+    # different runs of one k-gram: their bytes, once each, unless all are known to be repeated
     mixed = kinds.where("mixed")
-    fan = mixed.groupBy("gram").agg((F.count("*") > many).alias("spread"))
+    fan = stage(mixed.groupBy("gram").agg((F.count("*") > many).alias("spread"), F.min("n").alias("least")).where("least = 1").select("gram", "spread"), "fans")
     wanted = mixed.join(fan, "gram").groupBy("at.block").agg(F.collect_list(F.struct("at.run", "gram", "n", "spread")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, sizes, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, joined, begin, count, _ = _runs_of(sizes, text, length, gram)
+            for block, sizes, text, extra, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                joined, (begin, count) = b"".join(unpack(sizes, text)), _from_held(extra)
                 bodies = [joined[begin[w["run"]] : begin[w["run"]] + count[w["run"]] + length - 1] for w in asked]
                 yield _batch(
                     [[w["gram"] for w in asked], [w["n"] for w in asked], [w["spread"] for w in asked], [block] * len(asked), [w["run"] for w in asked], bodies],
                     [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()], ["gram", "n", "spread", "block", "run", "body"],
                 )
 
-    bodies = stage(texts.join(wanted, "block").mapInArrow(fetch, "gram long, n long, spread boolean, block long, run int, body binary"), "bodies")
+    bodies = stage(blocks.join(wanted, "block").select("block", "sizes", "text", "extra", "wanted").mapInArrow(fetch, "gram long, n long, spread boolean, block long, run int, body binary"), "bodies")
     found_schema = "block long, run int, begin int, windows int"
     found_kinds, found_names = [pa.int64(), pa.int32(), pa.int32(), pa.int32()], ["block", "run", "begin", "windows"]
 
@@ -242,9 +249,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: i
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, known, sizes, text, run, first, windows in zip(*batch.columns, strict=True):
-                ids, known, sizes, text = ids.as_py(), known.as_py(), sizes.as_py(), text.as_py()
-                found, joined, begin, count, _ = _runs_of(sizes, text, length, gram)
+            for ids, known, sizes, text, extra, run, first, windows in zip(*batch.columns, strict=True):
+                ids, known, sizes, text, extra = (x.as_py() for x in (ids, known, sizes, text, extra))
+                found = unpack(sizes, text)
+                joined, (begin, count) = b"".join(found), _from_held(extra)
                 cover = np.zeros(len(joined) + 1, np.int32)
                 if run.is_valid:
                     run, first, windows = (x.values.to_numpy(zero_copy_only=False) for x in (run, first, windows))
@@ -265,7 +273,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: i
                 columns = [ids_of(ids, known), *([r[i] for r in rows] for i in range(4))]
                 yield _batch(columns, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = blocks.join(by_block, "block", "left").select("ids", "known", "sizes", "text", "run", "begin", "windows")
+    joined = blocks.join(by_block, "block", "left").select("ids", "known", "sizes", "text", "extra", "run", "begin", "windows")
     out = stage(joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "kept")
     spark.sql(f"DROP TABLE {name}")
     return out
