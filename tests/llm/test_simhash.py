@@ -82,3 +82,36 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (7, "x y z")], "doc_id long, text string")
     assert sorted(simhash.near_duplicates(df).select("id", "component").collect(), key=str) == [(7, 7), (None, None), (None, None)]
     assert simhash.keep_one(spark, df, "").count() == 3
+
+
+def test_stage_finds_all_similar_texts(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in (30, 120, 400, 2000):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(n)]
+            rows.append((len(rows), " ".join(base)))
+            for edits in (1, n // 60, n // 40, n // 12):
+                copy = list(base)
+                for at in rng.sample(range(n), edits):
+                    copy[at] = rng.choice(words)
+                rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i for i in range(len(rows)) if find(i) == i}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(spark, df, "").collect()} == want
+    bits = simhash.near_duplicates(df).where("id = component").count()
+    assert len(want) < bits  # what 3 words and 2 bits leave
