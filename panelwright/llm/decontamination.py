@@ -37,13 +37,19 @@ class Settings:
     edits: int = 5
 
     def budget(self, length: int) -> int:
-        return min(self.edits, length * self.edits // self.probe)
+        """In proportion, and few enough that a match must share a q-gram."""
+        return max(0, min(self.edits, length * self.edits // self.probe, length // self.q - 1))
 
     def least(self, length: int) -> int:
         """Shared q-grams that a match guarantees."""
         return length - self.q + 1 - self.q * self.budget(length)
 
 
+#: Of the query and the stage: a verbatim excerpt of 55 bytes holds a whole probe
+#: wherever it begins, and one word in ten may be another.
+CORPUS = Settings(q=8, probe=48, stride=8, edits=4)
+
+
 def normalised(text: bytes) -> bytes:
     """ASCII lower case, white-space runs as one space."""
     return b" ".join(text.lower().split())
@@ -171,15 +177,22 @@ class Matcher:
             place = np.repeat(a, n) - p.offset[rows]  # where the probe's first byte would lie
             owner = p.owner[rows]
             band = (place + gap) // half
-            # each diagonal lies in two bands, [band, band + 1] and [band - 1, band] in halves
-            key = np.concatenate([owner << 40 | band, owner << 40 | (band - 1)])
-            k, c = np.unique(key, return_counts=True)
+            k, c = np.unique(owner << 40 | band, return_counts=True)
             keys.append(k)
             tally.append(c)
         if not keys:
             return
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(back, np.concatenate(tally)).astype(np.int64)
+        halves, n = keys[0], tally[0]
+        if len(keys) > 1:
+            halves, back = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(back, np.concatenate(tally)).astype(np.int64)
+        # a band is two halves, and one of them has half of the q-grams at least
+        some = halves[2 * n >= np.maximum(self.least[halves >> 40], 1)]
+        key = np.unique(np.concatenate([some, some - 1]))
+        count = np.zeros(len(key), np.int64)
+        for part in (key, key + 1):
+            at = np.minimum(np.searchsorted(halves, part), len(halves) - 1)
+            count += np.where(halves[at] == part, n[at], 0)
         owner = key >> 40
         enough = count >= np.maximum(self.least[owner], 1)
         key, owner = key[enough], owner[enough]
@@ -246,7 +259,7 @@ def shards(benchmark: DataFrame, chars: int = SHARD_CHARS) -> Iterator[list[tupl
         yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), chars: int = SHARD_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = CORPUS, chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, item_id, begin, end, edits: for every document and item of which
     a probe occurs within its edits, the stretch with the fewest (the first of
     equals), in bytes of the normalised text. Null text counts as empty;
@@ -284,7 +297,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     columns = docs.columns
     kept = docs
     for items in shards(table(spark, sf_dir, "benchmark")):
-        sent = spark.sparkContext.broadcast((items, Settings()))
+        sent = spark.sparkContext.broadcast((items, CORPUS))
 
         def of(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             matcher = None

@@ -93,3 +93,31 @@ def test_query_shards_and_stage(spark, tmp_path):
     kept = d.drop_contaminated(spark, df, str(tmp_path))
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [*range(20), 200, 201]
     assert d.matches(df, bench.limit(0)).count() == 0 and d.drop_contaminated(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_excerpts_and_reworded_items_are_found(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(800)]
+    items = [(i, [rng.choice(words) for _ in range(40)]) for i in range(40)]
+    docs = []
+    for i, w in items:
+        at = rng.randrange(40 - 13)
+        docs.append((i, " ".join(w[at : at + 13])))
+        new = list(w)
+        for at in range(rng.randrange(10), 40, 10):  # one word in ten
+            new[at] = rng.choice(words)
+        docs.append((100 + i, " ".join(new)))
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(k, f"{text(30)} {t} {text(30)}") for k, t in docs] + [(200 + i, text(300)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in d.matches(df, bench).collect()}
+    long = {i for i, t in ((i, t.split()) for i, t in docs[: 2 * len(items) : 2]) if len(" ".join(t[30:43])) >= 55}
+    assert len(long) > 35 and {(i, i) for i in long} <= found and {(100 + i, i) for i, _ in items} <= found
+    assert all(k % 100 == i and k < 200 for k, i in found)
+
+
+def test_the_bound_stays_positive():
+    for s in (d.Settings(), d.CORPUS, SMALL):
+        assert all(s.least(n) >= 1 for n in range(s.q, s.probe + 1))
+    assert d.CORPUS.budget(d.CORPUS.probe) == d.CORPUS.edits
