@@ -12,6 +12,7 @@ leftmost-longest spans of that stretch.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -66,7 +67,8 @@ def _without_tail(node: tuple) -> tuple:
 class Rule:
     """pattern matches leftmost-longest; matches don't overlap within a rule.
     A match counts if it has least bytes, and value_least bytes after its
-    `skip` part, if given. Patterns must not match bytes above 127."""
+    `skip` part, if given. Patterns must not match bytes above 127. What `tail`
+    fits behind a match belongs to it; it may reach over other rules' resets."""
 
     kind: str
     pattern: tuple
@@ -74,6 +76,7 @@ class Rule:
     skip: tuple | None = None
     value_least: int = 0
     head: tuple | None = None
+    tail: re.Pattern[bytes] | None = None
 
     @property
     def signal(self) -> tuple:
@@ -89,6 +92,16 @@ _KEYS = either(*(word(k, True) for k in ("password", "passwd", "secret", "token"
 _ASSIGN = seq(_KEYS, _QUOTE, _GAP, one(":="), _GAP, _QUOTE)
 _URLSAFE = one(_ALNUM, "_-")
 
+#: Of a private key, behind its BEGIN line: all up to the END line; without one
+#: (cut off), header lines and the base64 run, with line breaks as such or escaped.
+_EOL = rb"(?:[ \t\"'+,]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t>\"'#*|]*+)"
+_KEY_BODY = re.compile(
+    rb"(?:(?!-----)[\x09-\x0d\x20-\x7e])*-----END [A-Z ]*PRIVATE KEY-----"
+    rb"|(?:" + _EOL + rb"+[A-Za-z0-9-]+: [\x20-\x7e]*(?=[\r\n]))*"
+    rb"(?:" + _EOL + rb"+[A-Za-z0-9+/]{16,}={0,2}|[ \t]+[A-Za-z0-9+/]{40,}={0,2})(?:(?:" + _EOL + rb"|[ \t])++[A-Za-z0-9+/]{16,}={0,2})*(?:" + _EOL + rb"+[A-Za-z0-9+/]+={0,2}(?=[ \t]*(?:[\r\n\\\"']|\Z)))?"
+    rb"|[A-Za-z0-9+/]{64,}={0,2}"
+)
+
 #: The three base kinds, in the order in which equal starts are listed, then the added ones.
 RULES = (
     Rule("assign", seq(_ASSIGN, some(_VALUE, 1)), skip=_ASSIGN, value_least=6),
@@ -98,7 +111,7 @@ RULES = (
     Rule("chat", seq(word("xox"), one("abprs"), word("-"), some(one(_ALNUM, "-"), 1)), least=15),
     Rule("cloud", seq(word("AIza"), some(_URLSAFE, 1)), least=39),
     Rule("jwt", seq(word("eyJ"), some(_URLSAFE, 1), word("."), word("eyJ"), some(_URLSAFE, 1), word("."), some(_URLSAFE, 1)), least=40, head=word("eyJ")),
-    Rule("pem", seq(word("-----BEGIN "), some(one(_UPPER, " ")), word("PRIVATE KEY-----")), head=word("-----BEGIN ")),
+    Rule("pem", seq(word("-----BEGIN "), some(one(_UPPER, " ")), word("PRIVATE KEY-----")), head=word("-----BEGIN "), tail=_KEY_BODY),
 )
 
 # --- automata ----------------------------------------------------------------
@@ -270,6 +283,8 @@ class Scanner:
                         continue
                     value = stop - _longest(self.skips[k], text, at, stop) if rule.skip else 0
                     if stop - at >= rule.least and (not rule.skip or value >= rule.value_least):
+                        if rule.tail and (more := rule.tail.match(text, stop)):
+                            stop = more.end()
                         found.append((at, k, stop))
                     at = max(stop, at + 1)
         return sorted(found)
