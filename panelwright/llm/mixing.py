@@ -1,25 +1,29 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are dealt into blocks. In a round of P slots a source
-of weight w has a = w * P blocks; its k-th block is released at floor(k * P / a)
-and due at ceil((k + 1) * P / a). Slots go to the released block with the
-earliest deadline, which meets every deadline, so that at each time a source
-has had less than one block more or less than its share. Rounds repeat, so the
-schedule is computed for one round (P slots, whatever the number of documents)
-and a block's place follows from its number: nothing that grows with the
-documents is scheduled on the driver.
-
-A source that runs out leaves its slots empty to the end of the round; then a
-new phase begins, in which the sources that are left share its weight. So every
-document is used exactly once.
+Each source's documents are dealt into blocks. In a phase a source has the exact
+weight w (a fraction, never rounded); its k-th block is released at floor(k / w)
+and due at ceil((k + 1) / w). Slots go to the released block with the earliest
+deadline, which meets every deadline, so that at each time of a phase, however
+long, a source has had less than one block more or less than its share.
+
+What each source has had tells all of the schedule's state. The driver follows
+the schedule (a step for each block) and notes that state at the beginning of
+every round; executors deal the rounds again from there. So the driver holds a
+number for each source and round, and never the blocks' places.
+
+A phase ends with the last block of a source; then a new one begins, in which
+the sources that are left share its weight. Every document is used exactly once.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ from ._common import partitions, table
 
 #: Documents in a block.
 BLOCK = 16
-#: Slots in a round, at least; a round has eight slots a source or more.
+#: Slots in a round: what one task deals at a time.
 ROUND = 1024
 
 
@@ -48,54 +52,106 @@ def shares(weights: Mapping[str, float], slots: int) -> dict[str, int]:
     return out
 
 
-def edf_round(blocks: Mapping[str, int], slots: int) -> list[tuple[str, int]]:
-    """(source, number) of the block in each slot of a round; the blocks fill it."""
-    wait = [(0, -(-slots // a), s, 0) for s, a in sorted(blocks.items())]
+def edf(weights: Mapping[str, int], had: Mapping[str, int], slot: int, end: int) -> Iterator[tuple[str, int]]:
+    """(source, number) of the block in each slot from `slot` to `end`, after
+    `had` blocks of each source. A source's share is its part of all weights."""
+    total = sum(weights.values())
+    wait = [(had.get(s, 0) * total // w, -(-(had.get(s, 0) + 1) * total // w), s, had.get(s, 0)) for s, w in sorted(weights.items())]
     heapq.heapify(wait)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(slots):
-        while wait and wait[0][0] <= slot:
+    for now in range(slot, end):
+        while wait and wait[0][0] <= now:
             _, due, s, k = heapq.heappop(wait)
             heapq.heappush(ready, (due, s, k))
         due, s, k = heapq.heappop(ready)
-        if due <= slot:
+        if due <= now:
             raise AssertionError("a deadline is missed")
-        out.append((s, k))
-        if k + 1 < blocks[s]:
-            heapq.heappush(wait, ((k + 1) * slots // blocks[s], -(-(k + 2) * slots // blocks[s]), s, k + 1))
-    return out
+        yield s, k
+        heapq.heappush(wait, ((k + 1) * total // weights[s], -(-(k + 2) * total // weights[s]), s, k + 1))
+
+
+def edf_round(blocks: Mapping[str, int], slots: int) -> list[tuple[str, int]]:
+    """(source, number) of the block in each slot of a round; the blocks fill it."""
+    return list(edf(blocks, {}, 0, slots))
+
+
+def exact(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    found = {s: Fraction(w) for s, w in weights.items()}
+    if min(found.values(), default=1) <= 0:
+        raise ValueError("weights must be positive")
+    unit = math.lcm(*(x.denominator for x in found.values()))
+    return {s: int(x * unit) for s, x in found.items()}
 
 
 @dataclass(frozen=True)
 class Phase:
     """Blocks `first[s]` to `first[s] + count[s]` of each source s, dealt from
-    position `begin` on; `rounds` rounds, each with table's slots."""
+    position `begin` on by exact weights; `had` holds what each source has had
+    at the beginning of every `slots` slots. The whole phase is one round of
+    `share` blocks each."""
 
     begin: int
-    rounds: int
-    share: dict[str, int]
+    weights: dict[str, int]
     first: dict[str, int]
     count: dict[str, int]
-    table: list[tuple[str, int]]
+    slots: int
+    had: list[dict[str, int]]
+    rounds: int = 1
+
+    @property
+    def share(self) -> dict[str, int]:
+        return self.count
+
+    @property
+    def table(self) -> list[tuple[str, int]]:
+        return list(edf(self.weights, {}, 0, sum(self.count.values())))
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = ROUND) -> list[Phase]:
     """The phases of a mix: as many as there are sources, at most."""
     left, done, out, begin = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), [], 0
     while left:
-        size = max(slots, 8 * len(left))
-        share = shares({s: weights[s] for s in left}, size)
-        rounds = max(1, min(-(-n // share[s]) for s, n in left.items()))
-        count = {s: min(n, rounds * share[s]) for s, n in left.items()}
-        out.append(Phase(begin, rounds, share, {s: done[s] for s in left}, count, edf_round(share, size)))
-        begin += rounds * size
+        part = exact({s: weights[s] for s in left})
+        count, had = dict.fromkeys(left, 0), []
+        for slot, (s, _) in enumerate(edf(part, {}, 0, sum(left.values()))):
+            if slot % slots == 0:
+                had.append(dict(count))
+            count[s] += 1
+            if count[s] == left[s]:
+                break
+        out.append(Phase(begin, part, {s: done[s] for s in left}, count, slots, had))
+        begin += sum(count.values())
         for s, n in count.items():
             done[s] += n
         left = {s: n - count[s] for s, n in left.items() if n > count[s]}
     return out
 
 
+def _dealt(spark: SparkSession, plan: list[Phase]) -> DataFrame:
+    """s, block, phase, slot of every block, dealt by executors round by round."""
+    rounds = [(i, r, list(had.items())) for i, p in enumerate(plan) for r, had in enumerate(p.had)]
+    weights = spark.sparkContext.broadcast([(p.weights, p.first, sum(p.count.values()), p.begin, p.slots) for p in plan])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, r, had in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                part, first, size, begin, slots = weights.value[i]
+                found = list(edf(part, {x["s"]: x["n"] for x in had}, r * slots, min(size, (r + 1) * slots)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([s for s, _ in found], pa.string()),
+                        pa.array([first[s] + k for s, k in found], pa.int64()),
+                        pa.array([i] * len(found), pa.int32()),
+                        pa.array(range(begin + r * slots, begin + r * slots + len(found)), pa.int64()),
+                    ],
+                    ["s", "block", "phase", "slot"],
+                )
+
+    made = spark.createDataFrame(rounds, "phase int, round int, had array<struct<s: string, n: long>>")
+    return made.mapInArrow(of, "s string, block long, phase int, slot long")
+
+
 def numbered(docs: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """docs with the column `name`: 0, 1, 2, ... within each key (not null), in
     the order of a hash of `order`. A source is cut into buckets by the hash's first bits, so
@@ -116,32 +172,26 @@ def numbered(docs: DataFrame, key: str, order: str, name: str) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, slots: int = ROUND) -> DataFrame:
     """docs (doc_id, source, and whatever else) with the columns mix_block (the
-    number of the block within its source), mix_phase, mix_slot (its slot, empty
-    ones counted) and mix_position (the order of documents; gaps may occur).
+    number of the block within its source), mix_phase, mix_slot (its slot) and
+    mix_position (the order of documents; the last block of a source may be short
+    and leave a gap).
 
     weights: of each source, by its name; those not named, and all by default,
     get the square root of their number of documents, so that large sources are
     damped. A null source is a source of its own, named ''. Every row is used
     once: repeated rows and null ids too. No rows: no rows.
 
-    The driver holds a number for each source, and one round's slots per phase.
+    The driver holds a number for each source and round of `slots` slots.
     """
     spark = docs.sparkSession
     named = docs.withColumn("source of mix", F.coalesce(F.col("source").cast("string"), F.lit("")))
     sizes = {r[0]: r[1] for r in named.groupBy("source of mix").count().collect()}
     given = weights or {}
     plan = phases({s: -(-n // block) for s, n in sizes.items()}, {s: given.get(s, n**0.5) for s, n in sizes.items()}, slots)
-    spans = [(s, i, p.first[s], p.first[s] + p.count[s], p.share[s], p.begin, len(p.table)) for i, p in enumerate(plan) for s in p.count]
-    slotted = [(s, i, k, slot) for i, p in enumerate(plan) for slot, (s, k) in enumerate(p.table)]
-    span = spark.createDataFrame(spans, "s string, phase int, low long, high long, share int, begin long, size int")
-    slot = spark.createDataFrame(slotted, "s2 string, phase2 int, k int, slot int")
+    dealt = _dealt(spark, plan)
     blocks = numbered(named, "source of mix", "doc_id", "place of mix").withColumn("mix_block", F.expr(f"`place of mix` div {block}"))
-    inside = (F.col("source of mix") == F.col("s")) & (F.col("mix_block") >= F.col("low")) & (F.col("mix_block") < F.col("high"))
-    # both tables have at most slots x sources rows, made on the driver
-    placed = blocks.join(F.broadcast(span), inside)
-    at = (F.col("source of mix") == F.col("s2")) & (F.col("phase") == F.col("phase2")) & (F.col("k") == (F.col("mix_block") - F.col("low")) % F.col("share"))
-    placed = placed.join(F.broadcast(slot), at)
-    whole = F.col("begin") + F.expr("(mix_block - low) div share") * F.col("size") + F.col("slot")
+    placed = blocks.join(dealt, (F.col("source of mix") == F.col("s")) & (F.col("mix_block") == F.col("block")))
+    whole = F.col("slot")
     return placed.select(
         *docs.columns,
         "mix_block",

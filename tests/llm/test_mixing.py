@@ -72,3 +72,26 @@ def test_same_order_whatever_the_partitions_and_empty(spark):
     one, two = (sorted(map(tuple, mixing.mix(x).collect())) for x in (df, df.repartition(7)))
     assert one == two
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_deviation_from_exact_weights_stays_below_one_block():
+    weights = {f"s{i}": 1.0 for i in range(20)} | {"light": 0.003, "odd": 2**0.5}
+    total = sum(map(Fraction, weights.values()))
+    plan = mixing.phases({s: int(60_000 * Fraction(w) / total) + 1 for s, w in weights.items()}, weights, 1024)
+    assert len(plan[0].had) > 50  # rounds
+    got, worst = Counter(), 0
+    for t, (s, _) in enumerate(plan[0].table, 1):
+        got[s] += 1
+        worst = max(worst, abs(got[s] - float(Fraction(weights[s]) * t / total)))
+        if t % 1024 == 0:
+            worst = max(worst, *(abs(got[x] - float(Fraction(w) * t / total)) for x, w in weights.items()))
+            if t // 1024 < len(plan[0].had):
+                assert {x: n for x, n in plan[0].had[t // 1024].items() if n} == got
+    assert worst < 1 and got == plan[0].count
+
+
+def test_rounds_are_dealt_as_the_whole_phase(spark):
+    plan = mixing.phases({"a": 300, "b": 170, "c": 9}, {"a": 1.3, "b": 0.7, "c": 0.011}, 16)
+    found = sorted((r.slot, r.s, r.block, r.phase) for r in mixing._dealt(spark, plan).collect())
+    want = [(s, p.first[s] + k, i) for i, p in enumerate(plan) for s, k in p.table]
+    assert found == [(t, *x) for t, x in enumerate(want)]
