@@ -1,12 +1,17 @@
 """Secret scans with one combined deterministic automaton.
 
-All rules are compiled together: Thompson construction, subset construction of
-the unanchored union, minimisation by partition refinement, then one transition
-array of states by byte classes. Texts are scanned once, whatever the number of
-rules: the bytes of a batch are cut into lanes at bytes that lead every state
-back to the start, and all lanes advance one byte per step. Where the scan
-reaches an accepting state, the rule's own anchored automaton finds the
-leftmost-longest spans of that stretch.
+Every rule is compiled by Thompson and subset construction into an automaton of
+its leftmost matches: behind a head (of known length) it follows one match until
+that ends or dies, and takes up no other head meanwhile. The reachable product of
+all rules' automata, minimised by partition refinement, is one transition array
+of states by byte classes. Its twin, the event array, tells for every transition
+which heads end there, and which matches begin to be whole or end. One pass over
+the bytes of a batch gives all events of all rules; spans follow from the events
+alone, and no byte is read twice.
+
+Texts are cut into lanes behind bytes that no rule has, at which every state
+leaves for the start; all lanes advance a byte at a time. What remains of few
+long lanes is read byte by byte.
 """
 
 from __future__ import annotations
@@ -56,41 +61,29 @@ def word(text: str, fold: bool = False) -> tuple:
     return seq(*(one(c.lower(), c.upper()) if fold else one(c) for c in text))
 
 
-def _without_tail(node: tuple) -> tuple:
-    kind, body = node
-    if kind != "seq" or not body:
-        return node
-    return seq(*body[:-1]) if body[-1][0] == "star" else seq(*body[:-1], _without_tail(body[-1]))
-
-
 @dataclass(frozen=True)
 class Rule:
-    """pattern matches leftmost-longest; matches don't overlap within a rule.
-    A match counts if it has least bytes, and value_least bytes after its
-    `skip` part, if given. Patterns must not match bytes above 127. What `tail`
-    fits behind a match belongs to it; it may reach over other rules' resets."""
+    """Matches are one of the heads, each of a fixed length, and then rest;
+    leftmost, then longest, and not overlapping within a rule. A match counts if
+    it has `least` bytes, and `value_least` from where it first is whole. Bytes
+    above 127 can't be matched. What `tail` fits behind a match belongs to it.
+
+    Two conditions on rest: once a match is whole, no byte may leave it open but
+    not whole; and of heads inside a match that dies, none may go on to match."""
 
     kind: str
-    pattern: tuple
+    heads: tuple[tuple, ...]
+    rest: tuple
     least: int = 1
-    skip: tuple | None = None
     value_least: int = 0
-    head: tuple | None = None
     tail: re.Pattern[bytes] | None = None
 
-    @property
-    def signal(self) -> tuple:
-        """What every match begins with: `head`, else the pattern without the
-        repetition that ends it. The combined automaton looks for these, so its
-        states need not remember every run that is still open."""
-        return self.head or _without_tail(self.pattern)
-
 
 _VALUE = one(_ALNUM, "+/_.=-")
 _QUOTE, _GAP = maybe(one("\"'")), some(one(" "))
-_KEYS = either(*(word(k, True) for k in ("password", "passwd", "secret", "token")), seq(word("api", True), maybe(one("_")), word("key", True)))
-_ASSIGN = seq(_KEYS, _QUOTE, _GAP, one(":="), _GAP, _QUOTE)
+_KEYS = tuple(word(k, True) for k in ("password", "passwd", "secret", "token", "apikey", "api_key"))
 _URLSAFE = one(_ALNUM, "_-")
+_HEX = one(_DIGIT, "abcdef")
 
 #: Of a private key, behind its BEGIN line: all up to the END line; without one
 #: (cut off), header lines and the base64 run, with line breaks as such or escaped.
@@ -104,14 +97,14 @@ _KEY_BODY = re.compile(
 
 #: The three base kinds, in the order in which equal starts are listed, then the added ones.
 RULES = (
-    Rule("assign", seq(_ASSIGN, some(_VALUE, 1)), skip=_ASSIGN, value_least=6),
-    Rule("access", seq(word("AKIA"), some(one(_UPPER, _DIGIT), 1)), least=20),
-    Rule("hex", some(one(_DIGIT, "abcdef"), 24), least=24),
-    Rule("forge", seq(word("gh"), one("pousr"), word("_"), some(one(_ALNUM), 1)), least=40),
-    Rule("chat", seq(word("xox"), one("abprs"), word("-"), some(one(_ALNUM, "-"), 1)), least=15),
-    Rule("cloud", seq(word("AIza"), some(_URLSAFE, 1)), least=39),
-    Rule("jwt", seq(word("eyJ"), some(_URLSAFE, 1), word("."), word("eyJ"), some(_URLSAFE, 1), word("."), some(_URLSAFE, 1)), least=40, head=word("eyJ")),
-    Rule("pem", seq(word("-----BEGIN "), some(one(_UPPER, " ")), word("PRIVATE KEY-----")), head=word("-----BEGIN "), tail=_KEY_BODY),
+    Rule("assign", _KEYS, seq(_QUOTE, _GAP, one(":="), _GAP, _QUOTE, some(_VALUE, 1)), value_least=6),
+    Rule("access", (word("AKIA"),), some(one(_UPPER, _DIGIT), 1), least=20),
+    Rule("hex", (seq(*[_HEX] * 24),), some(_HEX), least=24),
+    Rule("forge", (seq(word("gh"), one("pousr"), word("_")),), some(one(_ALNUM), 1), least=40),
+    Rule("chat", (seq(word("xox"), one("abprs"), word("-")),), some(one(_ALNUM, "-"), 1), least=15),
+    Rule("cloud", (word("AIza"),), some(_URLSAFE, 1), least=39),
+    Rule("jwt", (word("eyJ"),), seq(some(_URLSAFE, 1), word("."), word("eyJ"), some(_URLSAFE, 1), word("."), some(_URLSAFE, 1)), least=40),
+    Rule("pem", (word("-----BEGIN "),), seq(some(one(_UPPER, " ")), word("PRIVATE KEY-----")), tail=_KEY_BODY),
 )
 
 # --- automata ----------------------------------------------------------------
@@ -163,155 +156,220 @@ class _Nfa:
         return frozenset(found)
 
 
+def _length(node: tuple) -> int:
+    """Bytes that node matches, which must be the same for all its matches."""
+    kind, body = node
+    if kind == "set":
+        return 1
+    if kind == "seq":
+        return sum(map(_length, body))
+    found = set(map(_length, body)) if kind == "alt" else set()
+    if len(found) != 1:
+        raise ValueError("a head must have a fixed length")
+    return found.pop()
+
+
 @dataclass(frozen=True)
 class Automaton:
-    """classes: byte -> class; moves: (states, classes); accepts: bit k is set
-    in states where rule k ends. State `start` is first; -1: no move."""
+    """classes: byte -> class; moves and events: (states, classes). State 0 is
+    the start. Bits of an event are numbered as in `bits`: (what, rule, length of
+    the head), what being `head`, `whole` or `end`."""
 
     classes: np.ndarray
     moves: np.ndarray
-    accepts: np.ndarray
-    start: int
+    events: np.ndarray
+    bits: list[tuple[str, int, int]]
 
 
-def compile_automaton(patterns: Iterable[tuple], anchored: bool) -> Automaton:
-    """Minimal automaton of the union of patterns. Unanchored: a match may
-    begin at every byte (the start's closure is added after each move)."""
+def _rule_automaton(rule: Rule, samples: list[int]) -> tuple[np.ndarray, dict[tuple[str, int], np.ndarray]]:
+    """moves (states, samples), and for each kind of event where it occurs."""
     nfa = _Nfa()
-    begins, ends = [], {}
-    for k, pattern in enumerate(patterns):
-        begins.append(nfa.state())
-        ends[nfa.add(pattern, begins[-1])] = k
+    starts, heads, join = [], {}, nfa.state()
+    for node in rule.heads:
+        starts.append(nfa.state())
+        heads[nfa.add(node, starts[-1])] = _length(node)
+    whole = nfa.add(rule.rest, join)
+    fresh, opened = nfa.closure(starts), nfa.closure([join])
+
+    def step(states: frozenset[int], byte: int) -> frozenset[int]:
+        return nfa.closure({m[1] for x in states if (m := nfa.moves[x]) and byte in m[0]})
+
+    # a state: the open match's states, and those of the heads in progress
+    ids, todo, rows = {(frozenset(), frozenset()): 0}, [(frozenset(), frozenset())], []
+    found: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for i, (match, progress) in enumerate(todo):
+        row = []
+        for c, byte in enumerate(samples):
+            after, ahead = step(match, byte), step(progress | fresh, byte)
+            if whole in match and whole not in after:
+                if after:
+                    raise ValueError("a whole match may only be continued or left")
+                found.setdefault(("end", 0), []).append((i, c))
+                ahead = step(fresh, byte)  # what has begun inside the match overlaps it
+            if not after and (ended := [n for x, n in heads.items() if x in ahead]):
+                after = opened
+                found.setdefault(("head", max(ended)), []).append((i, c))
+            if whole in after and (whole not in match or after is opened):
+                found.setdefault(("whole", 0), []).append((i, c))
+            reached = (after, frozenset() if whole in after else ahead.difference(heads))
+            if reached not in ids:
+                ids[reached] = len(ids)
+                todo.append(reached)
+            row.append(ids[reached])
+        rows.append(row)
+    moves = np.array(rows, np.int64)
+    told = {}
+    for what, places in found.items():
+        told[what] = np.zeros(moves.shape, bool)
+        told[what][tuple(np.array(places).T)] = True
+    return moves, told
+
+
+def compile_automaton(rules: tuple[Rule, ...]) -> Automaton:
+    """The minimal automaton of all rules."""
     # bytes that every byte set treats alike form one class
-    sets = list({m[0] for m in nfa.moves if m})
+    sets = list({x for rule in rules for node in (*rule.heads, rule.rest) for x in _sets(node)})
     signs = [tuple(b in s for s in sets) for b in range(256)]
     order = {s: i for i, s in enumerate(dict.fromkeys(signs))}
     classes = np.array([order[s] for s in signs], np.uint8)
-    sample = [signs.index(s) for s in order]
-    initial = nfa.closure(begins)
-    ids, todo, rows = {initial: 0}, [initial], []
-    if anchored:
-        ids[frozenset()] = 1
-        todo.append(frozenset())
-    for subset in todo:
-        row = []
-        for byte in sample:
-            reached = {m[1] for x in subset if (m := nfa.moves[x]) and byte in m[0]}
-            after = nfa.closure(reached) | (frozenset() if anchored else initial)
-            if after not in ids:
-                ids[after] = len(ids)
-                todo.append(after)
-            row.append(ids[after])
-        rows.append(row)
-    moves = np.array(rows, np.int64)
-    accepts = np.array([sum(1 << ends[x] for x in s if x in ends) for s in todo], np.int64)
-    # minimisation: refine the partition by accepts until the moves agree
-    block = np.unique(accepts, return_inverse=True)[1].reshape(-1)
+    parts = [_rule_automaton(rule, [signs.index(s) for s in order]) for rule in rules]
+    # the reachable product, its states numbered as they are met; a code has each rule's state
+    radix = np.cumprod([1, *(len(m) for m, _ in parts)])[:-1]
+    split = lambda codes: [codes // r % len(m) for r, (m, _) in zip(radix, parts, strict=True)]
+    codes, layers, frontier = np.zeros(1, np.int64), [], np.zeros(1, np.int64)
+    while len(frontier):
+        reached = sum(m[of] * r for r, (m, _), of in zip(radix, parts, split(frontier), strict=True))
+        layers.append(reached)
+        frontier = np.setdiff1d(reached, codes)
+        codes = np.concatenate([codes, frontier])
+    by_code = np.argsort(codes)
+    moves = by_code[np.searchsorted(codes[by_code], np.concatenate(layers))]
+    bits = [(what, k, n) for k, (_, told) in enumerate(parts) for what, n in told if what != "whole" or rules[k].value_least]
+    if len(bits) > 64:
+        raise ValueError("too many rules")
+    events = np.zeros(moves.shape, np.uint64)
+    own = split(codes)
+    for j, (what, k, n) in enumerate(bits):
+        events |= parts[k][1][what, n][own[k]].astype(np.uint64) << np.uint64(j)
+    # minimisation: refine the partition by what states tell until the moves agree
+    block = _blocks(events)
     while True:
-        finer = np.unique(np.column_stack([block, block[moves]]), axis=0, return_inverse=True)[1].reshape(-1)
+        finer = _blocks(np.column_stack([block, block[moves]]))
         if finer.max() == block.max():
             break
         block = finer
-    first = np.unique(block, return_index=True)[1]
-    moves, accepts = block[moves[first]], accepts[first]
-    start = int(block[0])
-    if anchored:
-        moves = np.where(moves == block[1], -1, moves)
-    return Automaton(classes, moves, accepts, start)
+    first = np.sort(np.unique(block, return_index=True)[1])  # the start, met first, stays state 0
+    number = np.empty(len(first), np.int32)
+    number[block[first]] = np.arange(len(first))
+    return Automaton(classes, number[block[moves[first]]], events[first], bits)
+
+
+def _sets(node: tuple) -> list[frozenset[int]]:
+    kind, body = node
+    if kind == "set":
+        return [body]
+    return _sets(body) if kind == "star" else [x for part in body for x in _sets(part)]
+
+
+def _blocks(rows: np.ndarray) -> np.ndarray:
+    """The number of each row among the distinct ones."""
+    whole = np.ascontiguousarray(rows)
+    return np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).reshape(-1), return_inverse=True)[1].reshape(-1)
+
+
+#: Lanes below which each is read by itself.
+_FEW = 64
 
 
 class Scanner:
-    """All rules' automata; made once a process."""
+    """The transition and event arrays of rules; made once, on the driver."""
 
     def __init__(self, rules: tuple[Rule, ...]) -> None:
-        self.rules = rules
-        self.all = compile_automaton([r.signal for r in rules], anchored=False)
-        self.each = [_bytewise(compile_automaton([r.pattern], anchored=True)) for r in rules]
-        self.skips = [_bytewise(compile_automaton([r.skip], anchored=True)) if r.skip else None for r in rules]
-        kinds = self.all.moves.shape[1]
-        self.flat = np.ascontiguousarray(self.all.moves * kinds).ravel().astype(np.int32)
-        self.ends = np.repeat(self.all.accepts, kinds)
-        # bytes that no rule has anywhere: every state leaves for the start, and stretches end there
-        used = frozenset().union(*(_bytes_of(r.pattern) for r in rules))
-        self.resets = np.array([b not in used for b in range(256)])
+        made = compile_automaton(rules)
+        self.rules, self.bits, self.states = rules, made.bits, len(made.moves)
+        self.classes = made.classes
+        self.flat = np.ascontiguousarray(made.moves * made.moves.shape[1]).ravel()
+        self.events = made.events.ravel().astype(np.uint32 if len(made.bits) <= 32 else np.uint64)
+        # bytes at which every state leaves for the start
+        self.resets = (made.moves == 0).all(axis=0)[made.classes]
 
     def scan(self, data: np.ndarray, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, rule bits) at which any rule's signal ends, in one pass.
-        The first byte must be a reset."""
+        """(positions, transitions) with events, by position. The last byte must be a reset."""
         n = len(data)
-        resets = np.flatnonzero(self.resets[data])
-        wanted = np.linspace(0, n, max(1, min(lanes, n // 64)) + 1, dtype=np.int64)[:-1]
-        begins = np.unique(resets[np.minimum(np.searchsorted(resets, wanted), len(resets) - 1)])
-        begins[0] = 0
+        after = np.flatnonzero(self.resets[data]) + 1
+        wanted = np.linspace(0, n, max(1, min(lanes, n // 64)) + 1, dtype=np.int64)[1:-1]
+        begins = np.unique(np.append(0, after[np.searchsorted(after, wanted)]))
+        begins = begins[begins < n]
         sizes = np.diff(np.append(begins, n))
         order = np.argsort(-sizes, kind="stable")
         begins, sizes = begins[order], sizes[order]
-        classes = self.all.classes[data]
-        state = np.full(len(begins), self.all.start * self.all.moves.shape[1], np.int32)
+        classes = self.classes[data]
+        state = np.zeros(len(begins), np.int32)
         live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
-        found_at, found_bits = [], []
+        found_at, found = [], []
         at = begins.copy()
         for step in range(int(sizes[0])):
             k = int(live[step])
+            if k < _FEW:
+                for lane in range(k):
+                    self._alone(classes, int(at[lane]), int(begins[lane] + sizes[lane]), int(state[lane]), found_at, found)
+                break
             here = at[:k]
-            now = self.flat[state[:k] + classes[here]]
-            state[:k] = now
-            ended = self.ends[now]
-            if ended.any():
-                hits = np.flatnonzero(ended)
+            move = state[:k] + classes[here]
+            told = self.events[move]
+            state[:k] = self.flat[move]
+            if told.any():
+                hits = np.flatnonzero(told)
                 found_at.append(here[hits])
-                found_bits.append(ended[hits])
+                found.append(move[hits])
             at[:k] += 1
         if not found_at:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at, bits = np.concatenate(found_at), np.concatenate(found_bits)
-        order = np.argsort(at, kind="stable")
-        return at[order], bits[order]
-
-    def spans(self, text: bytes, stretches: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """(start, rule, end) in bytes, from stretches (begin, end, rule bits)."""
-        found = []
-        for begin, end, bits in stretches:
-            for k, rule in enumerate(self.rules):
-                if not bits >> k & 1:
-                    continue
-                at = begin
-                while at < end:
-                    stop = _longest(self.each[k], text, at, end)
-                    if stop < 0:
-                        at += 1
-                        continue
-                    value = stop - _longest(self.skips[k], text, at, stop) if rule.skip else 0
-                    if stop - at >= rule.least and (not rule.skip or value >= rule.value_least):
-                        if rule.tail and (more := rule.tail.match(text, stop)):
-                            stop = more.end()
-                        found.append((at, k, stop))
-                    at = max(stop, at + 1)
-        return sorted(found)
-
-
-def _bytes_of(node: tuple) -> frozenset[int]:
-    kind, body = node
-    if kind == "set":
-        return body
-    return _bytes_of(body) if kind == "star" else frozenset().union(*map(_bytes_of, body))
-
-
-def _bytewise(a: Automaton) -> tuple[list[list[int]], list[bool], int]:
-    return a.moves[:, a.classes].tolist(), (a.accepts != 0).tolist(), a.start
-
-
-def _longest(automaton: tuple[list[list[int]], list[bool], int], text: bytes, at: int, end: int) -> int:
-    """Where the longest match from `at` ends, -1 without one."""
-    moves, accepts, state = automaton
-    best = -1
-    for i in range(at, end):
-        state = moves[state][text[i]]
-        if state < 0:
-            break
-        if accepts[state]:
-            best = i + 1
-    return best
+        places, moves = np.concatenate(found_at), np.concatenate(found)
+        order = np.argsort(places, kind="stable")
+        return places[order], moves[order]
+
+    def _alone(self, classes: np.ndarray, at: int, end: int, state: int, found_at: list, found: list) -> None:
+        flat, events = _as_lists(self)
+        places, moves = [], []
+        for i, c in enumerate(classes[at:end].tobytes(), at):
+            move = state + c
+            state = flat[move]
+            if events[move]:
+                places.append(i)
+                moves.append(move)
+        found_at.append(np.array(places, np.int64))
+        found.append(np.array(moves, np.int64))
+
+    def spans(self, joined: bytes, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, start, rule, end) in bytes of joined, from the events of one pass."""
+        n = len(self.rules)
+        begun, whole, last = [-1] * n, [-1] * n, [0] * n
+        out = []
+        places, moves = self.scan(np.frombuffer(joined, np.uint8))
+        # at one byte a match ends before the next one's head does
+        known, which = np.unique(self.events[moves], return_inverse=True)
+        kinds = [sorted((("end", "head", "whole").index(what), k, m) for j, (what, k, m) in enumerate(self.bits) if told >> j & 1) for told in known.tolist()]
+        for at, told in zip(places.tolist(), which.tolist(), strict=True):
+            for what, k, m in kinds[told]:
+                if what == 2:
+                    whole[k] = at
+                elif what == 1:
+                    begun[k] = at + 1 - m
+                elif begun[k] >= last[k]:
+                    a, z, rule = begun[k], at, self.rules[k]
+                    if z - a >= rule.least and (not rule.value_least or z - whole[k] >= rule.value_least):
+                        doc = int(np.searchsorted(begins, a, side="right")) - 1
+                        if rule.tail and (more := rule.tail.match(joined, z, int(ends[doc]))):
+                            z = more.end()
+                        out.append((doc, a, k, z))
+                    last[k] = z
+        return sorted(out)
+
+
+@lru_cache(maxsize=2)
+def _as_lists(scan: Scanner) -> tuple[list[int], list[int]]:
+    return scan.flat.tolist(), scan.events.tolist()
 
 
 @lru_cache(maxsize=4)
@@ -319,35 +377,23 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 
 
-def find_secrets(found: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, str, int]]]:
+def find_secrets(found: list[bytes], rules: tuple[Rule, ...] = RULES, scan: Scanner | None = None) -> list[list[tuple[int, str, int]]]:
     """Of each UTF-8 text its (start, kind, end) in code points, end exclusive,
     by start and then by the rules' order. Texts don't touch: an end of text
-    ends every match."""
-    scan = scanner(rules)
-    joined = b"\n" + b"\n".join(found) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    at, bits = scan.scan(data)
+    ends every match. scan: the rules' scanner, if it is at hand."""
+    scan = scan or scanner(rules)
+    joined = b"\n".join(found) + b"\n"
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    begins = np.cumsum(sizes + 1) - sizes - 1
     out: list[list[tuple[int, str, int]]] = [[] for _ in found]
-    if not len(at):
+    if not found or not (spans := scan.spans(joined, begins, begins + sizes)):
         return out
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    begins = np.cumsum(sizes + 1) - sizes
-    owner = np.searchsorted(begins, at, side="right") - 1
-    resets = np.flatnonzero(scan.resets[data])
-    low = resets[np.searchsorted(resets, at) - 1] + 1
-    high = resets[np.searchsorted(resets, at)]
-    for doc in np.unique(owner).tolist():
-        mine = owner == doc
-        base = int(begins[doc])
-        stretches: dict[tuple[int, int], int] = {}
-        for a, z, b in zip(low[mine].tolist(), high[mine].tolist(), bits[mine].tolist(), strict=True):
-            stretches[a - base, z - base] = stretches.get((a - base, z - base), 0) | b
-        text = found[doc]
-        spans = scan.spans(text, [(a, z, b) for (a, z), b in sorted(stretches.items())])
-        plain = text.isascii()
-        point = (lambda i: i) if plain else (lambda i, t=text: len(t[:i].decode("utf-8", "replace")))
-        out[doc] = sorted(((point(a), k, point(z)) for a, k, z in spans))
-        out[doc] = [(a, rules[k].kind, z) for a, k, z in out[doc]]
+    # code points before each byte
+    points = np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)
+    points -= points[0]
+    for doc, a, k, z in spans:
+        base = int(points[begins[doc]])
+        out[doc].append((int(points[a]) - base, scan.rules[k].kind, int(points[z]) - base))
     return out
 
 
@@ -360,11 +406,14 @@ _BASE = ("assign", "access", "hex")
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document, with spans in code points. No columns but doc_id
-    and text are read; null or empty text has no spans."""
+    and text are read. Null or empty text has no spans; null ids and repeated
+    rows have a row each; texts of any length are read whole, in time linear in
+    their bytes. No rows: no rows."""
+    scan = spark.sparkContext.broadcast(scanner(RULES))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in texts(batches):
-            spans = find_secrets(found)
+            spans = find_secrets(found, scan=scan.value)
             base = [[s for s in x if s[1] in _BASE] for x in spans]
             counts = [pa.array([sum(s[1] == k for s in x) for x in base], pa.int64()) for k in _BASE]
             sums = [hashlib.sha256(_joined(x).encode()).hexdigest() for x in base]
@@ -381,7 +430,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every secret's span is replaced by `[kind]`; of spans
     that overlap, the union is replaced, named after the first. No document
     goes; n_chars follows the new text; null text stays null."""
-    columns = docs.columns
+    columns, scan = docs.columns, spark.sparkContext.broadcast(scanner(RULES))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,7 +439,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             raw = [(x or "").encode("utf-8", "replace") for x in found]
             step = max(1, len(raw) * (1 << 23) // max(1, sum(map(len, raw))))
             for i in range(0, len(raw), step):
-                for j, spans in enumerate(find_secrets(raw[i : i + step]), i):
+                for j, spans in enumerate(find_secrets(raw[i : i + step], scan=scan.value), i):
                     if spans:
                         changed[j] = blank(found[j], spans)
             arrays = list(batch.columns)

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import Row
 
 from panelwright.llm import secrets
@@ -49,11 +51,41 @@ def test_same_as_regular_expressions():
     assert secrets.find_secrets([]) == [] and secrets.find_secrets([b"", b""]) == [[], []]
 
 
-def test_automaton_is_minimal_and_small():
+def test_automaton_is_minimal_and_shared():
     scan = secrets.scanner(secrets.RULES)
-    assert len(scan.all.moves) < 1000
-    again = secrets.compile_automaton([secrets.either(secrets.word("ab"), secrets.word("cb"))], anchored=True)
-    assert len(again.moves) == 4  # start, middle, end, dead
+    assert scan.states < 20_000
+    rule = secrets.Rule("x", (secrets.word("ab"), secrets.word("cb")), secrets.some(secrets.one("x"), 1))
+    again = secrets.compile_automaton((rule,))
+    assert len(again.moves) == 4  # start, a or c, b, whole
+    # no two states agree in what they tell and where they lead
+    made = secrets.compile_automaton(secrets.RULES[:3])
+    assert len({(*e, *m) for e, m in zip(made.events.tolist(), made.moves.tolist(), strict=True)}) == len(made.moves)
+    with pytest.raises(ValueError):
+        secrets.compile_automaton((secrets.Rule("z", (secrets.word("a"),), secrets.seq(secrets.word("b"), secrets.maybe(secrets.word("cd")))),))
+    with pytest.raises(ValueError):
+        secrets.compile_automaton((secrets.Rule("y", (secrets.some(secrets.one("a"), 1),), secrets.word("b")),))
+
+
+def test_time_is_linear_in_one_long_stretch():
+    def seconds(text):
+        began = time.process_time()
+        assert secrets.find_secrets([text])[0] == []
+        return time.process_time() - began
+
+    secrets.find_secrets([b"eyJ" * 2000])
+    short, long = seconds(b"eyJ" * 100_000), seconds(b"eyJ" * 800_000)
+    assert long < 16 * short + 1
+
+
+def test_spans_in_long_texts_beyond_ascii():
+    text = "日本é, token: abcdef\n" * 20_000
+    found = secrets.find_secrets([text.encode()])[0]
+    assert len(found) == 20_000 and found[-1] == (len(text) - 14, "assign", len(text) - 1)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert secrets.op6_secrets(spark, str(tmp_path)).count() == 0
 
 
 def test_query_and_redaction(spark, tmp_path):
