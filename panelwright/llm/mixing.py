@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, replace
 from fractions import Fraction
 
 import pyarrow as pa
@@ -30,26 +30,10 @@ from pyspark.sql import functions as F
 
 from ._common import partitions, table
 
-#: Documents in a block.
-BLOCK = 16
+#: Documents in a block: the driver takes a step for each, so ten billion documents take it some minutes.
+BLOCK = 128
 #: Slots in a round: what one task deals at a time.
-ROUND = 1024
-
-
-def shares(weights: Mapping[str, float], slots: int) -> dict[str, int]:
-    """Whole blocks of a round for each source, by largest remainders; at least
-    one each. Their sum is slots (sources are fewer than slots)."""
-    total = sum(weights.values())
-    exact = {s: w * slots / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(out, key=lambda s: (exact[s] - out[s], s))
-    while (rest := slots - sum(out.values())) != 0:
-        for s in (reversed(order) if rest > 0 else order):
-            if rest > 0 or out[s] > 1:
-                out[s] += 1 if rest > 0 else -1
-                if slots == sum(out.values()):
-                    break
-    return out
+ROUND = 8192
 
 
 def edf(weights: Mapping[str, int], had: Mapping[str, int], slot: int, end: int) -> Iterator[tuple[str, int]]:
@@ -70,16 +54,12 @@ def edf(weights: Mapping[str, int], had: Mapping[str, int], slot: int, end: int)
         heapq.heappush(wait, ((k + 1) * total // weights[s], -(-(k + 2) * total // weights[s]), s, k + 1))
 
 
-def edf_round(blocks: Mapping[str, int], slots: int) -> list[tuple[str, int]]:
-    """(source, number) of the block in each slot of a round; the blocks fill it."""
-    return list(edf(blocks, {}, 0, slots))
-
-
 def exact(weights: Mapping[str, float]) -> dict[str, int]:
-    """Whole numbers in exactly the proportions of the weights."""
+    """Whole numbers in exactly the proportions of the weights, which must be
+    positive and finite."""
+    if not all(0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
     found = {s: Fraction(w) for s, w in weights.items()}
-    if min(found.values(), default=1) <= 0:
-        raise ValueError("weights must be positive")
     unit = math.lcm(*(x.denominator for x in found.values()))
     return {s: int(x * unit) for s, x in found.items()}
 
@@ -88,8 +68,7 @@ def exact(weights: Mapping[str, float]) -> dict[str, int]:
 class Phase:
     """Blocks `first[s]` to `first[s] + count[s]` of each source s, dealt from
     position `begin` on by exact weights; `had` holds what each source has had
-    at the beginning of every `slots` slots. The whole phase is one round of
-    `share` blocks each."""
+    at the beginning of every `slots` slots."""
 
     begin: int
     weights: dict[str, int]
@@ -97,15 +76,14 @@ class Phase:
     count: dict[str, int]
     slots: int
     had: list[dict[str, int]]
-    rounds: int = 1
 
     @property
-    def share(self) -> dict[str, int]:
-        return self.count
+    def size(self) -> int:
+        return sum(self.count.values())
 
-    @property
-    def table(self) -> list[tuple[str, int]]:
-        return list(edf(self.weights, {}, 0, sum(self.count.values())))
+    def dealt(self, r: int, had: Mapping[str, int]) -> list[tuple[str, int]]:
+        """(source, block) in each slot of round r, which begins after `had` blocks."""
+        return [(s, self.first[s] + k) for s, k in edf(self.weights, had, r * self.slots, min(self.size, (r + 1) * self.slots))]
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = ROUND) -> list[Phase]:
@@ -131,19 +109,21 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int =
 def _dealt(spark: SparkSession, plan: list[Phase]) -> DataFrame:
     """s, block, phase, slot of every block, dealt by executors round by round."""
     rounds = [(i, r, list(had.items())) for i, p in enumerate(plan) for r, had in enumerate(p.had)]
-    weights = spark.sparkContext.broadcast([(p.weights, p.first, sum(p.count.values()), p.begin, p.slots) for p in plan])
+    # a number or two for each source and phase
+    lean = spark.sparkContext.broadcast([replace(p, had=[]) for p in plan])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, r, had in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                part, first, size, begin, slots = weights.value[i]
-                found = list(edf(part, {x["s"]: x["n"] for x in had}, r * slots, min(size, (r + 1) * slots)))
+                part = lean.value[i]
+                found = part.dealt(r, {x["s"]: x["n"] for x in had})
+                begin = part.begin + r * part.slots
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([s for s, _ in found], pa.string()),
-                        pa.array([first[s] + k for s, k in found], pa.int64()),
+                        pa.array([k for _, k in found], pa.int64()),
                         pa.array([i] * len(found), pa.int32()),
-                        pa.array(range(begin + r * slots, begin + r * slots + len(found)), pa.int64()),
+                        pa.array(range(begin, begin + len(found)), pa.int64()),
                     ],
                     ["s", "block", "phase", "slot"],
                 )
@@ -152,52 +132,74 @@ def _dealt(spark: SparkSession, plan: list[Phase]) -> DataFrame:
     return made.mapInArrow(of, "s string, block long, phase int, slot long")
 
 
+def _own(columns: list[str]) -> Callable[[str], str]:
+    """Makes names that none of the columns has."""
+    tag = "of mix"
+    while any(c.lower().endswith(tag) for c in columns):
+        tag += "_"
+    return lambda name: f"{name} {tag}"
+
+
 def numbered(docs: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """docs with the column `name`: 0, 1, 2, ... within each key (not null), in
-    the order of a hash of `order`. A source is cut into buckets by the hash's first bits, so
-    that no task numbers all rows of a source: rows are numbered within their
-    bucket, and buckets are offset by a running sum over their counts."""
+    the order of a hash of `order` (of the whole row where that is null). A
+    source is cut into buckets by the hash's first bits, so that no task numbers
+    all rows of a source: rows are numbered within their bucket, and buckets are
+    offset by a running sum over their counts."""
     columns = docs.columns
+    own = _own(columns)
+    hashed, bucket, n, before, of_key, of_bucket, rank = (own(x) for x in ("hash", "bucket", "n", "before", "key", "at", "rank"))
     bits = max(64, 4 * partitions(docs.sparkSession)).bit_length()
-    rows = docs.withColumn("hash of mix", F.xxhash64(order)).withColumn("bucket of mix", F.shiftright("hash of mix", 64 - bits))
-    counts = rows.groupBy(key, "bucket of mix").agg(F.count("*").alias("n of mix"))
-    before = F.sum("n of mix").over(W.partitionBy(key).orderBy("bucket of mix").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(F.col(key).alias("key of mix"), F.col("bucket of mix").alias("at of mix"), F.coalesce(before, F.lit(0)).alias("before of mix"))
-    within = W.partitionBy(key, "bucket of mix").orderBy("hash of mix", order)
-    ranked = rows.withColumn("rank of mix", F.row_number().over(within) - 1)
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    rows = docs.withColumn(hashed, F.when(F.col(order).isNull(), whole).otherwise(F.xxhash64(order)))
+    rows = rows.withColumn(bucket, F.shiftright(hashed, 64 - bits))
+    counts = rows.groupBy(key, bucket).agg(F.count("*").alias(n))
+    running = F.sum(n).over(W.partitionBy(key).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(F.col(key).alias(of_key), F.col(bucket).alias(of_bucket), F.coalesce(running, F.lit(0)).alias(before))
+    within = W.partitionBy(key, bucket).orderBy(hashed, order)
+    ranked = rows.withColumn(rank, F.row_number().over(within) - 1)
     # by the very columns that the window is partitioned by: rows move once
-    joined = ranked.join(offsets, (F.col(key) == F.col("key of mix")) & (F.col("bucket of mix") == F.col("at of mix")))
-    return joined.select(*columns, (F.col("rank of mix") + F.col("before of mix")).cast("long").alias(name))
+    joined = ranked.join(offsets, (F.col(key) == F.col(of_key)) & (F.col(bucket) == F.col(of_bucket)))
+    return joined.select(*(F.col(f"`{c}`") for c in columns), (F.col(rank) + F.col(before)).cast("long").alias(name))
+
+
+MIX_COLUMNS = ("mix_block", "mix_phase", "mix_slot", "mix_position")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, slots: int = ROUND) -> DataFrame:
     """docs (doc_id, source, and whatever else) with the columns mix_block (the
     number of the block within its source), mix_phase, mix_slot (its slot) and
     mix_position (the order of documents; the last block of a source may be short
-    and leave a gap).
+    and leave a gap). Columns of docs with these names are replaced; all others
+    are kept, whatever their names.
 
-    weights: of each source, by its name; those not named, and all by default,
-    get the square root of their number of documents, so that large sources are
-    damped. A null source is a source of its own, named ''. Every row is used
-    once: repeated rows and null ids too. No rows: no rows.
+    weights: of each source, by its name, positive; those not named, and all by
+    default, get the square root of their number of documents, so that large
+    sources are damped. A null source is a source of its own, named ''. Every
+    row is used once: repeated rows and null ids too (rows that agree in all
+    columns are interchangeable). Sources of equal deadlines go by their names.
+    No rows: no rows.
 
     The driver holds a number for each source and round of `slots` slots.
     """
     spark = docs.sparkSession
-    named = docs.withColumn("source of mix", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    sizes = {r[0]: r[1] for r in named.groupBy("source of mix").count().collect()}
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in MIX_COLUMNS))
+    own = _own(docs.columns)
+    source, place, number = own("source"), own("place"), own("number")
+    named = docs.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit("")))
+    sizes = {r[0]: r[1] for r in named.groupBy(source).agg(F.count("*")).collect()}
     given = weights or {}
     plan = phases({s: -(-n // block) for s, n in sizes.items()}, {s: given.get(s, n**0.5) for s, n in sizes.items()}, slots)
-    dealt = _dealt(spark, plan)
-    blocks = numbered(named, "source of mix", "doc_id", "place of mix").withColumn("mix_block", F.expr(f"`place of mix` div {block}"))
-    placed = blocks.join(dealt, (F.col("source of mix") == F.col("s")) & (F.col("mix_block") == F.col("block")))
-    whole = F.col("slot")
+    dealt = _dealt(spark, plan).select(*(F.col(c).alias(own(f"dealt {c}")) for c in ("s", "block", "phase", "slot")))
+    blocks = numbered(named, source, "doc_id", place).withColumn(number, F.floor(F.col(place) / block))
+    placed = blocks.join(dealt, (F.col(source) == F.col(own("dealt s"))) & (F.col(number) == F.col(own("dealt block"))))
+    slot = F.col(own("dealt slot"))
     return placed.select(
-        *docs.columns,
-        "mix_block",
-        F.col("phase").alias("mix_phase"),
-        whole.alias("mix_slot"),
-        (whole * block + F.col("place of mix") % block).alias("mix_position"),
+        *(F.col(f"`{c}`") for c in docs.columns),
+        F.col(number).alias("mix_block"),
+        F.col(own("dealt phase")).alias("mix_phase"),
+        slot.alias("mix_slot"),
+        (slot * block + F.col(place) % block).alias("mix_position"),
     )
 
 

@@ -2,17 +2,23 @@
 
 Fingerprints of eight bytes that differ in at most d bits share at least 8 - d
 positional bytes. The posting list of one byte at one position holds about
-1/256 of all fingerprints, so lists are intersected before they are read: every
-choice of 8 - d positions is one index, keyed by the bytes there. A pair with
-enough shared positional bytes meets in at least one of them; its shared bytes
-are then tallied, the guaranteed minimum is required, and the bits are compared.
-
-A list can hold at most 256^d different fingerprints (equal ones are merged
-first, however many documents carry them), so no list grows with the corpus.
+1/256 of all fingerprints, so lists are intersected before they are read: keys
+are the bytes at 7 - d positions, and the choices of positions are such that
+every pair with the guaranteed minimum of shared bytes meets at one of them.
+Pairs that meet share one byte less than that minimum; their shared positional
+bytes are tallied, those below the minimum go, and the bits of the others are
+compared.
+
+Equal fingerprints are merged first, however many documents carry them. A list
+that is still long (a cluster of fingerprints close to each other) is intersected
+with nibbles of the remaining bytes, which leaves at most 256 fingerprints in a
+list for d = 2, and again loses no pair.
 
 The pipeline's stage asks for more than two bits can tell: five-word shingles
-with a Jaccard similarity of 0.8 lie 6 to 7 bits apart, often more. So it finds
-candidates by bands of minima of the shingles and compares their sets exactly.
+with a Jaccard similarity of 0.8 differ in 15 % of a fingerprint's bits, some 10
+of 64, which no shared byte is guaranteed for. So its index has the low bytes of
+96 minima of the shingles, in place of one fingerprint; lists are intersected,
+shared positional bytes tallied, and the pairs that remain compared exactly.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from pyspark.sql import functions as F
 from ._common import stage, table, texts
 from .components import connected_components
 
+#: Fingerprints beyond which a list is intersected with nibbles.
+LONG_LIST = 4096
 #: 256 x 8: the bits of a byte, lowest first.
 _BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.int64)
 
@@ -76,19 +84,54 @@ def _shared_bytes(x: Column) -> Column:
     return sum((F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
 
 
-def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b): all pairs a < b of different fingerprints `fp` (distinct rows)
-    that differ in at most max_bits bits, 1 to 4."""
-    keep = 8 - max_bits
-    masks = [sum(255 << (8 * k) for k in at) for at in combinations(range(8), keep)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posted = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)))).alias("p"))
-    posted = posted.select("fp", F.col("p.at").alias("at"), F.col("p.bytes").alias("bytes"))
-    a, b = posted.alias("l"), posted.alias("r")
+def position_choices(max_bits: int) -> list[tuple[int, ...]]:
+    """Choices of 7 - max_bits of the eight positions, so that each max_bits
+    positions are avoided by one of them. Chosen greedily: 11 for two bits."""
+    gaps = set(combinations(range(8), max_bits))
+    chosen = []
+    while gaps:
+        left_out = max(combinations(range(8), max_bits + 1), key=lambda c: sum(g in gaps for g in combinations(c, max_bits)))
+        gaps -= set(combinations(left_out, max_bits))
+        chosen.append(tuple(k for k in range(8) if k not in left_out))
+    return chosen
+
+
+def _mask(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _posted(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, at, bytes): the bytes of every mask."""
+    entries = F.array(*(F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(_mask(m))).alias("bytes")) for i, m in enumerate(masks)))
+    return fps.select("fp", F.explode(entries).alias("p")).select("fp", F.col("p.at").alias("at"), F.col("p.bytes").alias("bytes"))
+
+
+def _met(posted: DataFrame, keep: int, max_bits: int) -> DataFrame:
+    """(a, b) of the pairs in a list that pass the count filter and are near."""
+    l, r = posted.alias("l"), posted.alias("r")
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    near = (F.col("l.fp") < F.col("r.fp")) & (_shared_bytes(x) >= keep) & (F.bit_count(x) <= max_bits)
-    same = (F.col("l.at") == F.col("r.at")) & (F.col("l.bytes") == F.col("r.bytes"))
-    return a.join(b, same & near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
+    same = (F.col("l.at") == F.col("r.at")) & (F.col("l.bytes") == F.col("r.bytes")) & (F.col("l.fp") < F.col("r.fp"))
+    counted = l.join(r, same).where(_shared_bytes(x) >= keep)
+    return counted.where(F.bit_count(x) <= max_bits).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+
+
+def links(fps: DataFrame, max_bits: int = 2, long_list: int = LONG_LIST) -> DataFrame:
+    """(a, b): all pairs a < b of different fingerprints `fp` (distinct rows)
+    that differ in at most max_bits bits, 1 to 4. Lists of more than `long_list`
+    fingerprints are intersected further: of the 2 (max_bits + 1) nibbles of the
+    other bytes, a pair shares all but max_bits, so it meets in one of the lists
+    keyed by that many nibbles."""
+    keep, choices = 8 - max_bits, position_choices(max_bits)
+    masks = [sum(255 << (8 * k) for k in at) for at in choices]
+    posted = _posted(fps, masks)
+    long = stage(posted.groupBy("at", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > long_list).select("at", "bytes"), "long_lists")
+    short = posted.join(long, ["at", "bytes"], "left_anti")
+    nibbles = [[4 * j for j in range(16) if j // 2 not in at] for at in choices]
+    finer = [[m | sum(15 << j for j in js) for js in combinations(n, len(n) - max_bits)] for m, n in zip(masks, nibbles, strict=True)]
+    by_choice = F.array(*(F.array(*(F.lit(_mask(m)) for m in ms)) for ms in finer))
+    split = posted.join(long, ["at", "bytes"], "left_semi").select("fp", "at", F.posexplode(F.get(by_choice, F.col("at"))).alias("k", "m"))
+    split = split.select("fp", (F.col("at") * len(finer[0]) + F.col("k")).alias("at"), F.col("fp").bitwiseAND(F.col("m")).alias("bytes"))
+    return _met(short, keep, max_bits).union(_met(split, keep, max_bits)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -120,13 +163,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Copies:
     """Of the pipeline's stage: texts whose sets of `words`-word shingles have a
     Jaccard similarity of at least `similarity` are near-duplicates. Candidates
-    share all `rows` minima of one of `bands` bands: at a similarity of 0.8 all
-    but about two pairs in a million do."""
+    share all `rows` minima of one of `bands` bands (at a similarity of 0.8 all
+    but about two pairs in a million do), and the low bytes of `shared` of the
+    bands * rows minima (all but about one in ten million). `pivots` members of
+    a list of shared shingles are compared with the others before all pairs are."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 24
     rows: int = 4
+    shared: int = 56
+    pivots: int = 16
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -163,24 +210,37 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(docs: DataFrame, copies: Copies) -> DataFrame:
-    """(id, node, bands, text): node is a hash of the set of shingles."""
+    """(id, node, bands, places, text): node is a hash of the set of shingles,
+    bands the keys of the lists, places the low bytes of all minima as longs."""
+    n = copies.bands * copies.rows
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in texts(batches):
-            nodes, keys = [], []
+            nodes, keys, places = [], [], []
             for text in found:
                 grams = shingle_set(text, copies.words)
                 nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), 42) if len(grams) else 0)
-                least = _minima(grams, copies.bands * copies.rows).reshape(copies.bands, -1)
-                keys.append([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)] if len(grams) else [])
+                least = _minima(grams, n)
+                by_band = least.reshape(copies.bands, -1)
+                keys.append([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(by_band)] if len(grams) else [])
+                places.append(np.resize(least.astype(np.uint8), -(-n // 8) * 8).view(np.int64))
             flat = np.array([k for x in keys for k in x], np.uint64).view(np.int64)
             offsets = np.cumsum([0, *map(len, keys)])
+            longs = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(places[0]), pa.int32()), pa.array(np.concatenate(places)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(found, pa.binary())],
-                ["id", "node", "bands", "text"],
+                [pa.array(ids, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), longs, pa.array(found, pa.binary())],
+                ["id", "node", "bands", "places", "text"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "id long, node long, bands array<long>, text binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "id long, node long, bands array<long>, places array<long>, text binary")
+
+
+def _tallied(pairs: DataFrame, nodes: DataFrame, copies: Copies) -> DataFrame:
+    """The pairs (a, b) of nodes that share enough positional bytes."""
+    longs = -(-copies.bands * copies.rows // 8)
+    x, y = nodes.select(F.col("node").alias("a"), F.col("places").alias("x")), nodes.select(F.col("node").alias("b"), F.col("places").alias("y"))
+    shared = sum((_shared_bytes(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(longs)), F.lit(0))
+    return pairs.join(x, "a").join(y, "b").where(shared >= copies.shared).select("a", "b")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, copies: Copies) -> DataFrame:
@@ -197,31 +257,93 @@ def _verified(pairs: DataFrame, held: DataFrame, copies: Copies) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
 
 
+def _prefixes(wanted: DataFrame, held: DataFrame, copies: Copies) -> DataFrame:
+    """(node, size, share, place, gram): with the shingles of each node ordered
+    from the rarest on, the first (1 - t) n + 1 of n for the similarity t, with
+    their places; share is the part of its shingles that others have. Two nodes as similar as that share one of them. wanted: (node,
+    root); shingles that only nodes of one root have are left out (but counted),
+    since pairs of one root aren't asked for."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = shingle_set(text, copies.words).view(np.int64)
+                n = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v)) for v in (node, root, n)] + [pa.array(grams)], ["node", "root", "size", "gram"])
+
+    grams = wanted.join(held, "node").select("node", "root", "text").mapInArrow(of, "node long, root long, size long, gram long")
+    common = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram", "n")
+    # those left out come first in the order
+    listed = grams.join(common, "gram").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("found"))
+    first = F.floor((1 - F.lit(copies.similarity)) * F.col("size") + 1e-9) + 1
+    place = F.col("size") - F.size("found") + F.col("k") + 1
+    listed = listed.select("node", "size", "found", F.posexplode("found").alias("k", "f"))
+    return listed.where(place <= first).select("node", "size", (F.size("found") / F.col("size")).alias("share"), place.alias("place"), F.col("f.gram").alias("gram"))
+
+
+def _paired(l: DataFrame, r: DataFrame, once: Column, copies: Copies) -> DataFrame:
+    """(a, b): nodes of different roots that share a shingle at places that leave
+    enough of both behind it; `once` tells which of (l, r) and (r, l) to make."""
+    t = copies.similarity
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("l.size") + F.col("r.size")) - 1e-9)
+    rest = F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place")) + 1
+    met = l.alias("l").join(r.alias("r"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.root") != F.col("r.root")) & once & (rest >= need))
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
+def _with_some(posted: DataFrame, copies: Copies) -> DataFrame:
+    """Pairs of each node with a few nodes of its lists: of each of `pivots` parts
+    of a list (by a hash) the one with the largest share of shared shingles."""
+    part = F.pmod(F.xxhash64("node"), F.lit(copies.pivots))
+    best = F.max_by(F.struct("node", "root", "size", "place"), F.struct("share", "node"))
+    pivots = posted.groupBy("gram", part.alias("part")).agg(best.alias("p")).select("gram", "p.*")
+    return _paired(posted, pivots, F.lit(True), copies)
+
+
+def _with_all(posted: DataFrame, copies: Copies) -> DataFrame:
+    """All pairs of different roots. The root with most nodes of a list isn't
+    paired with itself, however many they are."""
+    per_root = posted.groupBy("gram", "root").agg(F.count("*").alias("n"))
+    main = per_root.groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("gram", "main")
+    dealt = stage(posted.join(main, "gram"), "prefixes")
+    once = (F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))
+    return _paired(dealt.where("root != main"), dealt, once, copies)
+
+
 def near_copies(docs: DataFrame, copies: Copies = Copies()) -> DataFrame:
     """(id, component) for every row of docs: component is the least id that can
     be reached over texts of enough similarity. Texts without words are alike.
 
-    Members of a bucket are compared with one of them first, so that a large
-    group of copies costs a comparison each; then all pairs of a bucket that
-    no link has brought together yet are compared too.
+    Members of a list are compared with one of them first, so that a large
+    group of copies costs a comparison each. Nodes of the lists that hold more
+    than one component after that are compared through the prefix filter, which
+    makes pairs only of those that share rare shingles: texts that share a
+    frequent passage, but not enough, aren't paired with each other. Of these
+    too a few in each list come first, and then all pairs of components that are
+    still apart.
+
+    Null text counts as empty. Null ids take part, but can't name a component (a
+    component of null ids only is null). Rows that share an id but not a text
+    link their groups in no way; repeated rows are copies. No rows: no rows.
     """
     sketched = stage(_sketches(docs, copies), "sketches")
-    nodes = sketched.groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
+    nodes = stage(sketched.groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("places").alias("places")), "nodes")
     posted = nodes.select("node", F.explode("bands").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     buckets = stage(posted.join(shared, "key").select("key", "node", "pivot"), "buckets")
-    wanted = buckets.select("node").distinct()
-    held = stage(sketched.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidates")
     first = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(_verified(first, held, copies), "near")
+    held = stage(sketched.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidates")
+    links = stage(_verified(_tallied(first, nodes, copies), held, copies), "near")
     roots = connected_components(links)
     member = stage(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
     open_keys = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    left = member.join(open_keys, "key", "left_semi")
-    l, r = left.alias("l"), left.alias("r")
-    met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")))
-    rest = met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    roots = connected_components(links.union(stage(_verified(rest, held, copies), "near")))
+    wanted = member.join(open_keys, "key", "left_semi").select("node", "root").distinct()
+    prefixes = stage(_prefixes(wanted, held, copies), "prefixes")
+    for paired in (_with_some, _with_all):
+        rooted = prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = _verified(_tallied(paired(rooted, copies), nodes, copies), held, copies)
+        links = stage(links.union(stage(found, "near")), "near")
+        roots = connected_components(links)
     named = stage(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "classes")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     return sketched.select("id", "node").join(named.join(least, "root").select("node", "component"), "node").select("id", "component")
@@ -229,8 +351,9 @@ def near_copies(docs: DataFrame, copies: Copies = Copies()) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates (near_copies) the
-    document with the least id stays. Documents without an id can't be told
-    apart and stay."""
+    document with the least id stays. Rows of one id are one document, which
+    stays or goes as a whole: it goes if any of them has a copy of a smaller id.
+    Documents without an id can't be told apart and stay."""
     found = near_copies(docs)
     gone = found.where("id != component").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from fractions import Fraction
@@ -9,61 +10,90 @@ from panelwright.llm import mixing
 DOCS = "doc_id long, source string, text string, place string, mix_x string"
 
 
+def brute(blocks, weights):
+    """(phase, source, block) slot by slot: of the released blocks the one with the earliest deadline."""
+    left, done, out, phase = {s: n for s, n in blocks.items() if n}, Counter(), [], 0
+    while left:
+        total = sum(Fraction(weights[s]) for s in left)
+        share = {s: Fraction(weights[s]) / total for s in left}
+        had, slot = Counter(), 0
+        while all(had[s] < n for s, n in left.items()):
+            ready = [(math.ceil((had[s] + 1) / w), s) for s, w in share.items() if math.floor(had[s] / w) <= slot]
+            due, s = min(ready)
+            assert due > slot
+            out.append((phase, s, done[s] + had[s]))
+            had[s] += 1
+            slot += 1
+            # the deviation from the unrounded weights, at all times
+            assert all(abs(had[x] - w * slot) < 1 for x, w in share.items())
+        for s in list(left):
+            done[s] += had[s]
+            left[s] -= had[s]
+            if not left[s]:
+                del left[s]
+        phase += 1
+    return out
+
+
+def planned(blocks, weights, slots):
+    return [(i, s, k) for i, p in enumerate(mixing.phases(blocks, weights, slots)) for r, had in enumerate(p.had) for s, k in p.dealt(r, had)]
+
+
 @pytest.mark.parametrize("seed", range(20))
-def test_every_source_stays_within_one_block(seed):
+def test_schedule_against_brute_force(seed):
     rng = random.Random(seed)
-    slots = rng.choice([8, 64, 500])
-    weights = {f"s{i}": rng.choice([0.01, 1, 5, 100]) * rng.random() for i in range(rng.randint(1, min(20, slots)))}
-    share = mixing.shares(weights, slots)
-    assert sum(share.values()) == slots and min(share.values()) >= 1
-    got = Counter()
-    for t, (s, k) in enumerate(mixing.edf_round(share, slots), 1):
-        assert k == got[s]
-        got[s] += 1
-        for x, a in share.items():
-            assert abs(got[x] - Fraction(a * t, slots)) < 1
-    assert got == share
-
-
-def test_phases_use_every_block_once():
-    blocks = {"a": 5000, "b": 37, "c": 1, "d": 0}
-    weights = {"a": 1.0, "b": 3.0, "c": 1.0, "d": 1.0}
-    plan = mixing.phases(blocks, weights, 64)
-    assert {s: sum(p.count.get(s, 0) for p in plan) for s in blocks} == blocks
-    assert len(plan) <= 3 and all(a.begin + a.rounds * len(a.table) == b.begin for a, b in zip(plan, plan[1:], strict=False))
+    names = [f"s{i}" for i in range(rng.randint(1, 12))]
+    weights = {s: rng.choice([0.01, 1, 5, 100]) * rng.random() + 1e-6 for s in names}
+    blocks = {s: rng.choice([0, 1, 3, 40, 200]) for s in names}
+    assert planned(blocks, weights, rng.choice([1, 7, 64, 5000])) == brute(blocks, weights)
+
+
+def test_ten_thousand_to_one_over_many_rounds():
+    weights = {"a": 10_000.0, "b": 1.0}
+    found = planned({"a": 200_000, "b": 100}, weights, 1024)
+    had = Counter()
+    for t, (_, s, _) in enumerate(found[:200_000], 1):
+        had[s] += 1
+        assert abs(had["b"] - Fraction(t, 10_001)) < 1
+    assert t / 1024 > 100 and had["b"] in (19, 20)
+
+
+def test_weights_are_checked():
     assert mixing.phases({}, {}) == []
+    for bad in (0.0, -1.0, math.inf, math.nan):
+        with pytest.raises(ValueError):
+            mixing.phases({"a": 3, "b": 3}, {"a": 1.0, "b": bad})
 
 
 def test_mix_deals_every_document(spark):
     rng = random.Random(3)
-    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), "t", "clash", "clash") for i in range(700)] + [(None, "a", None, None, None)] + [(5, "b", "t", "x", "y")] * 3
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), "t", "clash", "clash") for i in range(700)] + [(None, "a", None, None, None)] * 2 + [(5, "b", "t", "x", "y")] * 3
     df = spark.createDataFrame(rows, DOCS).repartition(5)
-    found = mixing.mix(df, {"a": 2.0, "b": 1.0, "c": 1.0, "": 1.0}, block=4, slots=16).collect()
+    weights = {"a": 2.0, "b": 1.0, "c": 1.0, "": 1.0}
+    found = mixing.mix(df, weights, block=4, slots=16).collect()
     assert Counter(map(str, (r.doc_id for r in found))) == Counter(map(str, (r[0] for r in rows)))
     assert len({r.mix_position for r in found}) == len(rows)
-    # block by block as the plan says, in a plain loop
     sizes = Counter(r[1] or "" for r in rows)
-    plan = mixing.phases({s: -(-n // 4) for s, n in sizes.items()}, {"a": 2.0, "b": 1.0, "c": 1.0, "": 1.0}, 16)
-    want = []
-    for p in plan:
-        used = dict(p.first)
-        for _ in range(p.rounds):
-            for s, _ in p.table:
-                if used[s] < p.first[s] + p.count[s]:
-                    want.append((s, used[s]))
-                    used[s] += 1
+    want = brute({s: -(-n // 4) for s, n in sizes.items()}, weights)
     got = []
     for r in sorted(found, key=lambda r: r.mix_position):
-        if not got or got[-1] != (r.source or "", r.mix_block):
-            got.append((r.source or "", r.mix_block))
+        assert r.mix_position // 4 == r.mix_slot
+        if not got or got[-1] != (r.mix_phase, r.source or "", r.mix_block):
+            got.append((r.mix_phase, r.source or "", r.mix_block))
     assert got == want
-    # while all sources last, their shares of the documents stay within a block
-    seen = Counter()
-    for t, (s, _) in enumerate(got, 1):
-        seen[s] += 1
-        slots = len(plan[0].table)
-        if t <= (plan[0].rounds - 1) * slots:
-            assert all(abs(seen[x] - Fraction(a * t, slots)) < 1 for x, a in plan[0].share.items())
+    per_block = Counter((r.source or "", r.mix_block) for r in found)
+    assert all(n == min(4, sizes[s] - 4 * k) for (s, k), n in per_block.items())
+
+
+def test_clashing_names(spark):
+    names = ["size", "phase", "begin", "mix_block", "Slot", "low", "high", "share", "k", "s", "s2", "block", "of mix", "hash of mix", "a.b", "mix_position"]
+    schema = "doc_id long, source string, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame([(i, "xy"[i % 2], *names) for i in range(40)], schema)
+    found = mixing.mix(df, block=4)
+    assert found.columns == ["doc_id", "source", *(n for n in names if n not in mixing.MIX_COLUMNS), *mixing.MIX_COLUMNS]
+    plain = mixing.mix(df.select("doc_id", "source"), block=4)
+    same = [sorted((r.doc_id, r.mix_block, r.mix_position) for r in x.collect()) for x in (found, plain)]
+    assert same[0] == same[1] and found.first()["a.b"] == "a.b"
 
 
 def test_same_order_whatever_the_partitions_and_empty(spark):
@@ -74,24 +104,7 @@ def test_same_order_whatever_the_partitions_and_empty(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_deviation_from_exact_weights_stays_below_one_block():
-    weights = {f"s{i}": 1.0 for i in range(20)} | {"light": 0.003, "odd": 2**0.5}
-    total = sum(map(Fraction, weights.values()))
-    plan = mixing.phases({s: int(60_000 * Fraction(w) / total) + 1 for s, w in weights.items()}, weights, 1024)
-    assert len(plan[0].had) > 50  # rounds
-    got, worst = Counter(), 0
-    for t, (s, _) in enumerate(plan[0].table, 1):
-        got[s] += 1
-        worst = max(worst, abs(got[s] - float(Fraction(weights[s]) * t / total)))
-        if t % 1024 == 0:
-            worst = max(worst, *(abs(got[x] - float(Fraction(w) * t / total)) for x, w in weights.items()))
-            if t // 1024 < len(plan[0].had):
-                assert {x: n for x, n in plan[0].had[t // 1024].items() if n} == got
-    assert worst < 1 and got == plan[0].count
-
-
-def test_rounds_are_dealt_as_the_whole_phase(spark):
-    plan = mixing.phases({"a": 300, "b": 170, "c": 9}, {"a": 1.3, "b": 0.7, "c": 0.011}, 16)
-    found = sorted((r.slot, r.s, r.block, r.phase) for r in mixing._dealt(spark, plan).collect())
-    want = [(s, p.first[s] + k, i) for i, p in enumerate(plan) for s, k in p.table]
-    assert found == [(t, *x) for t, x in enumerate(want)]
+def test_rounds_are_dealt_by_executors(spark):
+    blocks, weights = {"a": 300, "b": 170, "c": 9}, {"a": 1.3, "b": 0.7, "c": 0.011}
+    found = sorted((r.slot, r.phase, r.s, r.block) for r in mixing._dealt(spark, mixing.phases(blocks, weights, 16)).collect())
+    assert found == [(t, *x) for t, x in enumerate(brute(blocks, weights))]

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import xxhash
 from pyspark.sql import functions as F
@@ -68,6 +69,36 @@ def test_links_find_every_pair(spark):
     for bits in (1, 2, 3):
         want = {(a, b) for i, b in enumerate(signed) for a in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
         assert set(map(tuple, simhash.links(df, bits).collect())) == want
+        assert set(map(tuple, simhash.links(df, bits, long_list=2).collect())) == want
+
+
+def test_choices_of_positions_meet_every_pair():
+    for bits in (1, 2, 3, 4):
+        chosen = simhash.position_choices(bits)
+        assert all(len(c) == 7 - bits for c in chosen)
+        assert all(any(not set(c) & set(gap) for c in chosen) for gap in combinations(range(8), bits))
+    assert len(simhash.position_choices(2)) <= 12
+
+
+def test_the_count_filter_drops_pairs_that_meet(spark):
+    """Three differing bytes: such pairs meet in a list, but share too few bytes."""
+    rng = random.Random(6)
+    values = {rng.getrandbits(63) for _ in range(20)}
+    values |= {x ^ sum(1 << (8 * k + rng.randrange(7)) for k in rng.sample(range(8), n)) for x in list(values) for n in (1, 2, 3, 3, 3)}
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    masks = [sum(255 << (8 * k) for k in at) for at in simhash.position_choices(2)]
+    posted = simhash._posted(df, masks)
+    met = simhash._met(posted, 0, 64).distinct().count()
+    counted = simhash._met(posted, 6, 64).distinct().count()
+    assert met > counted > 0 and simhash.links(df).count() <= counted
+
+
+def test_long_lists_are_cut(spark):
+    """A cluster: all values of 14 bits around one fingerprint, in lists of 16,384."""
+    df = spark.range(1 << 13).select((F.col("id") * 3).alias("fp"))
+    near = {i * 3 for i in range(1 << 13)}
+    want = sum(1 for x in near for m in (*(1 << i for i in range(15)), *((1 << i) | (1 << j) for i in range(15) for j in range(i))) if x ^ m in near and x < x ^ m)
+    assert simhash.links(df).count() == want == simhash.links(df, long_list=100).count()
 
 
 def test_long_chains_and_empty_input(spark):
@@ -97,7 +128,14 @@ def test_stage_finds_all_similar_texts(spark):
                 for at in rng.sample(range(n), edits):
                     copy[at] = rng.choice(words)
                 rows.append((len(rows), " ".join(copy)))
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    passage = [rng.choice(words) for _ in range(90)]
+    for i in range(80):  # a shared passage, and 8 to 60 words of their own
+        own = [rng.choice(words) for _ in range(rng.choice([8, 20, 24, 40, 60]))]
+        rows.append((len(rows), " ".join([*own, *passage] if i % 2 else [*passage, *own])))
+    rows += [(len(rows), None), (len(rows) + 1, " "), (len(rows) + 2, "one two"), (len(rows) + 3, "one  Two")]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    lower = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in lower]
     root = list(range(len(rows)))
 
     def find(x):
@@ -112,6 +150,38 @@ def test_stage_finds_all_similar_texts(spark):
                 root[b] = a
     want = {i for i in range(len(rows)) if find(i) == i}
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(want) < len(rows) - 30
     assert {r.doc_id for r in simhash.keep_one(spark, df, "").collect()} == want
     bits = simhash.near_duplicates(df).where("id = component").count()
     assert len(want) < bits  # what 3 words and 2 bits leave
+
+
+def prefixed(spark, rows):
+    """Prefixes of (node, root, text) rows, with the roots."""
+    df = spark.createDataFrame(rows, "node long, root long, text string").withColumn("text", F.col("text").cast("binary"))
+    return simhash._prefixes(df.select("node", "root"), df.select("node", "text"), simhash.Copies()).join(df.select("node", "root"), "node")
+
+
+def test_texts_that_share_a_passage_make_no_pairs(spark):
+    passage = " ".join(f"p{i}" for i in range(100))
+    rows = [(i, i, f"{passage} " + " ".join(f"u{i}x{j}" for j in range(30 + i % 5))) for i in range(200)]
+    assert simhash._with_all(prefixed(spark, rows), simhash.Copies()).count() == 0
+
+
+def test_prefixes_lose_no_similar_pair(spark):
+    rows = [(i, i % 3, " ".join(f"w{(j + i) % 400}" if j != i else "new" for j in range(300))) for i in range(60)]
+    sets = {n: simhash.shingle_set(t.encode()) for n, _, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and a % 3 != b % 3 and simhash.jaccard(sets[a], sets[b]) >= 0.8}
+    posted = prefixed(spark, rows)
+    found = set(map(tuple, simhash._with_all(posted, simhash.Copies()).collect()))
+    assert want and want <= found and all(a % 3 != b % 3 for a, b in found)
+    some = set(map(tuple, simhash._with_some(posted, simhash.Copies()).collect()))
+    assert some <= found
+
+
+def test_repeated_ids(spark):
+    """Rows of one id are one document: they stay or go together."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text), (1, text), (2, text), (2, "something else entirely"), (3, "something else entirely")]
+    left = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, left.collect())) == [(1, text), (1, text)]
