@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -44,3 +45,38 @@ def test_counts_and_verdicts(spark):
 
 def test_empty_table(spark):
     assert quality_rules.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_fences_follow_each_group(spark):
+    """Verdicts against quantiles taken in a loop; repeated lines and windows fail at default settings."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(260):
+        group = ("en", "calm") if i % 2 else ("en", "wild")
+        lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(10)]
+        if group[1] == "wild":
+            lines += lines[: rng.randrange(4)]
+        rows.append((i, "\n".join(lines), *group))
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(10)]
+    rows += [(900, "\n".join(lines + lines[:4]), "en", "calm"), (901, "\n".join(lines + lines[:3]), "en", "wild")]
+    found = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+    def measures(text):
+        n, chars, symbols, dup, repeat = plain(text)
+        return {"word_length": chars / n, "symbol_share": symbols / n, "dup_line_share": dup / len(text.split("\n")), "repeat_share": repeat / n}
+
+    for group in ("calm", "wild"):
+        of = {r[0]: measures(r[1]) for r in rows if r[3] == group and not found[r[0]].base_failed}
+        want = {k: [] for k in of}
+        for name, side, q, reach, least in quality_rules.MEASURES:
+            values = sorted(m[name] for m in of.values())
+            at = lambda q, v=values: v[max(0, math.ceil(round(q * len(v), 6)) - 1)]
+            wide = reach * (at(q) - at(1 - q))
+            low, high = min(at(1 - q) - wide, at(0.5) - least), max(at(q) + wide, at(0.5) + least)
+            for k, m in of.items():
+                if side == "both" and m[name] < low:
+                    want[k].append(f"{name}_low")
+                if m[name] > high:
+                    want[k].append(f"{name}_high")
+        assert {k: found[k].rules for k in of} == want
+    assert "dup_line_share_high" in found[900].rules and not found[900].kept and found[901].kept
