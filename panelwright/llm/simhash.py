@@ -332,7 +332,10 @@ def near_copies(docs: DataFrame, copies: Copies = Copies()) -> DataFrame:
     shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     buckets = stage(posted.join(shared, "key").select("key", "node", "pivot"), "buckets")
     first = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    held = stage(sketched.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidates")
+    # one row of each text, found by its node and id: a large group of copies isn't gathered
+    chosen = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("of"), "least")
+    rows = sketched.join(chosen, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")))
+    held = stage(rows.groupBy("node").agg(F.first("text").alias("text")), "candidates")
     links = stage(_verified(_tallied(first, nodes, copies), held, copies), "near")
     roots = connected_components(links)
     member = stage(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")

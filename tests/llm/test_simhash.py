@@ -105,6 +105,16 @@ def test_long_chains_and_empty_input(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 100), (None, 4)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 200: 100}
+    rng = random.Random(1)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + pairs
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    one, many = (sorted(map(tuple, connected_components(df, n).collect())) for n in (10**6, 20))
+    root = {x: x for p in pairs for x in p if x is not None and p[0] is not None}
+    for _ in range(400):
+        for a, b in pairs:
+            if a is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    assert one == many == sorted((x, r) for x, r in root.items() if any(x in p and p[0] not in (None, p[1]) for p in pairs))
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
 
