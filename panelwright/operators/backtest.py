@@ -35,9 +35,15 @@ class SelectionDiagnostics:
 
 @dataclass(frozen=True)
 class SelectionResult:
+    """held: the persisted rows that both frames read; release() when done."""
+
     candidates: DataFrame
     scored_universe: DataFrame
     diagnostics: SelectionDiagnostics
+    held: DataFrame
+
+    def release(self) -> None:
+        self.held.unpersist()
 
 
 @dataclass(frozen=True)
@@ -66,10 +72,14 @@ def score_dates(frame: DataFrame, config: AppConfig, start: str | None = None, e
 _NEEDED = ["volatility_20_cs", "amihud_20_cs", "date_idx", "forward_return", "target_excess_return", "target_rank"]
 # The columns of each report, in order; those a frame lacks are left out.
 CANDIDATES = (
-    "date code ts_code name industry market exchange candidate_position global_rank selection_score alpha_percentile model_score selection_reason close"
-    " avg_amount_liquidity volatility_20 momentum_5 momentum_20 momentum_60 amount_ratio_20 price_position_20 is_limit_up is_limit_down"
-).split()
-UNIVERSE = "date code ts_code name industry market exchange global_rank selection_score alpha_percentile model_score close avg_amount_liquidity eligible".split()
+    "date", "code", "ts_code", "name", "industry", "market", "exchange", "candidate_position", "global_rank", "selection_score", "alpha_percentile",
+    "model_score", "selection_reason", "close", "avg_amount_liquidity", "volatility_20", "momentum_5", "momentum_20", "momentum_60", "amount_ratio_20",
+    "price_position_20", "is_limit_up", "is_limit_down",
+)
+UNIVERSE = (
+    "date", "code", "ts_code", "name", "industry", "market", "exchange", "global_rank", "selection_score", "alpha_percentile", "model_score", "close",
+    "avg_amount_liquidity", "eligible",
+)
 _HELD = ["date", "code", "industry", "candidate_position", "global_rank", "selection_score", "forward_return", "target_excess_return", "selection_reason"]
 
 
@@ -104,7 +114,7 @@ class CandidateSelector:
         found = SelectionDiagnostics(
             d.model_type, scored.score_date, scored.training_start, scored.training_end, scored.training_days, d.rows, eligible, basket.count(), d.active_features, d.trained_trees, industry_cap(self.config.selection)
         )
-        return SelectionResult(basket.orderBy("candidate_position"), universe.orderBy("global_rank"), found)
+        return SelectionResult(basket.orderBy("candidate_position"), universe.orderBy("global_rank"), found, universe)
 
     def select_from_csv(self, spark: SparkSession, path: str, as_of: str | None = None, previous_path: str | None = None) -> SelectionResult:
         before = previous_codes(spark, previous_path) if previous_path else None
@@ -117,9 +127,10 @@ class CandidateSelector:
         lean = self._lean(prepared)
         try:
             dates = score_dates(lean.frame, self.config, start_date, end_date)
-            universes, baskets, before = [], [], None
+            universes, baskets, results, before = [], [], [], None
             for period, (date, _) in enumerate(dates):
                 result = self.select_prepared(lean, date, before)
+                results.append(result)
                 universes.append(result.scored_universe.withColumn("period", F.lit(period)))
                 baskets.append(result.candidates.withColumn("period", F.lit(period)))
                 before = [r["code"] for r in result.candidates.select("code").collect()]
@@ -128,6 +139,8 @@ class CandidateSelector:
             holdings = held.orderBy("date", "candidate_position").select(*_HELD).persist()
             summary = self._summary(periods)
             holdings.count()
+            for result in results:
+                result.release()
         finally:
             lean.frame.unpersist()
         return BacktestResult(periods, holdings, summary)

@@ -89,11 +89,12 @@ def with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{x}_cs": fw.percentile_rank(F.col(x), "date").cast("float") for x in columns})
 
 
-def with_eligibility(df: DataFrame, config: AppConfig, ranked: Sequence[str]) -> DataFrame:
-    """feature_ready (by the shares of ranked, the catalogue's ranks) and eligible."""
+def with_eligibility(df: DataFrame, config: AppConfig, features: Sequence[str]) -> DataFrame:
+    """feature_ready (by the share of features that aren't null; a rank is null
+    exactly where its feature is, so the unranked ones do) and eligible."""
     u, c = config.universe, F.col
-    present = sum((c(x).isNotNull().cast("int") for x in ranked), F.lit(0))
-    ready = (c("listing_days") >= config.features.min_feature_history) & (present / F.lit(len(ranked)) >= READY_SHARE)
+    present = sum((c(x).isNotNull().cast("int") for x in features), F.lit(0))
+    ready = (c("listing_days") >= config.features.min_feature_history) & (present / F.lit(len(features)) >= READY_SHARE)
     df = df.withColumn("feature_ready", F.coalesce(ready, F.lit(False)))
     rule = c("has_valid_market_data") & c("feature_ready") & (c("listing_days") >= u.min_listing_days)
     rule = rule & (c("close") >= u.min_price) & (c("avg_amount_liquidity") >= u.min_avg_amount)
@@ -134,4 +135,4 @@ def build_features(panel: DataFrame, config: AppConfig, definitions: Sequence[Fe
         df = df.withColumns({x: F.col(x).cast("float") for x in made})
     df = with_targets(with_ranks(df, [*names, *made])).drop(*made)
     ranked = [f"{x}_cs" for x in names]
-    return PreparedData(with_eligibility(df, config, ranked), [*ranked, *(f"{x}_cs" for x in made)])
+    return PreparedData(with_eligibility(df, config, names), [*ranked, *(f"{x}_cs" for x in made)])

@@ -18,6 +18,8 @@ from .selection import as_of_index, with_selection_score
 MODEL_TYPE = "spark_gbt_regression_l2"
 #: Stands for a missing rank: ranks lie in (-0.5, 0.5], so one split isolates it.
 MISSING_RANK = -1.0
+#: Histogram bins of a feature.
+MAX_BINS = 255
 
 
 @dataclass(frozen=True)
@@ -36,19 +38,25 @@ class FitDiagnostics:
 Scorer = Callable[[DataFrame, DataFrame, Sequence[str], ModelConfig], tuple[DataFrame, FitDiagnostics]]
 
 
+def _bounds(q: float, target: str) -> list[Column]:
+    return [F.percentile(target, F.array(F.lit(q), F.lit(1 - q)))] if 0 < q < 0.5 else []
+
+
 def winsor_bounds(train: DataFrame, q: float, target: str = "target_rank") -> tuple[float, float] | None:
     """The exact q and 1 - q quantiles (linear between values), None if q is 0."""
-    if not 0 < q < 0.5:
-        return None
-    low, high = train.agg(F.percentile(target, F.array(F.lit(q), F.lit(1 - q))).alias("x")).first()["x"]
-    return low, high
+    found = _bounds(q, target)
+    return tuple(train.agg(*found).first()[0]) if found else None
+
+
+def _spans(columns: Sequence[str]) -> list[Column]:
+    """Of each column 1e-10 or less is no range; one value has none."""
+    return [F.coalesce((F.count(c) >= 2) & (F.max(c) - F.min(c) > 1e-10), F.lit(False)) for c in columns]
 
 
 def active_features(train: DataFrame, columns: Sequence[str]) -> list[str]:
     """Those with two values or more and a range above 1e-10, in one aggregation."""
-    sums = [x for c in columns for x in (F.count(c), F.max(c) - F.min(c))]
-    row = train.agg(*(s.alias(f"x{i}") for i, s in enumerate(sums))).first()
-    return [c for i, c in enumerate(columns) if row[2 * i] >= 2 and (row[2 * i + 1] or 0) > 1e-10]
+    row = train.agg(*(s.alias(f"x{i}") for i, s in enumerate(_spans(columns)))).first()
+    return [c for c, varies in zip(columns, row, strict=True) if varies]
 
 
 def _features(columns: Sequence[str]) -> list[Column]:
@@ -61,21 +69,23 @@ def fit_and_predict(train: DataFrame, score: DataFrame, columns: Sequence[str],
     bounds; constant features are left out."""
     train = train.where(F.col("target_rank").isNotNull()).select(*columns, "target_rank").persist()
     try:
-        n = train.count()
+        # all that is to be known of the rows, in one pass
+        facts = [F.count("*"), *_spans(columns), *_bounds(config.target_winsor_quantile, "target_rank")]
+        n, *known = train.agg(*(x.alias(f"x{i}") for i, x in enumerate(facts))).first()
         if n < 2:
             raise ValueError("fewer than two rows with a target")
-        active = active_features(train, columns)
+        active = [c for c, varies in zip(columns, known, strict=False) if varies]
         if not active:
             raise ValueError("all features are constant or missing")
         target = F.col("target_rank").cast("double")
-        if bounds := winsor_bounds(train, config.target_winsor_quantile):
-            target = F.least(F.greatest(target, F.lit(bounds[0])), F.lit(bounds[1]))
+        for low, high in known[len(columns) :]:
+            target = F.least(F.greatest(target, F.lit(low)), F.lit(high))
         assembler = VectorAssembler(inputCols=active, outputCol="features of model")
         depth = math.ceil(math.log2(config.num_leaves))
         trees = GBTRegressor(
             featuresCol="features of model", labelCol="label of model", predictionCol="model_score", maxIter=config.n_estimators,
             stepSize=min(1.0, config.learning_rate), maxDepth=max(1, min(depth, config.max_depth if config.max_depth > 0 else depth, 30)),
-            minInstancesPerNode=config.min_child_samples, subsamplingRate=config.subsample, seed=config.random_state, maxBins=64,
+            minInstancesPerNode=config.min_child_samples, subsamplingRate=config.subsample, seed=config.random_state, maxBins=MAX_BINS,
             featureSubsetStrategy="all" if config.colsample_bytree >= 1 else str(config.colsample_bytree), cacheNodeIds=True,
         )
         rows = assembler.transform(train.select(*_features(active), target.alias("label of model")))
@@ -110,10 +120,21 @@ class Scored:
     training_days: int
 
 
-def fit_and_score(prepared: PreparedData, config: AppConfig, as_of: str | None = None, scorer: Scorer = fit_and_predict) -> Scored:
-    """Trains on the dates whose labels are known by the score date (the last
-    one ends horizon + 1 dates earlier), scores the eligible rows of that date."""
-    frame, m = prepared.frame, config.model
+@dataclass(frozen=True)
+class TrainingWindow:
+    """The rows that a model of (date, at) may be trained on: dates first to last."""
+
+    rows: DataFrame
+    date: str
+    at: int
+    first: int
+    last: int
+
+
+def training_window(frame: DataFrame, config: AppConfig, as_of: str | None = None) -> TrainingWindow:
+    """Eligible rows with a target, of the last train_lookback_days dates whose
+    labels are known by the score date (the last one ends horizon + 1 earlier)."""
+    m = config.model
     date, at = as_of_index(frame, as_of)
     last = at - config.features.prediction_horizon - 1
     if last < 0:
@@ -121,7 +142,15 @@ def fit_and_score(prepared: PreparedData, config: AppConfig, as_of: str | None =
     first = max(0, last - m.train_lookback_days + 1)
     if last - first + 1 < m.min_train_days:
         raise ValueError(f"{last - first + 1} training dates before {date}; {m.min_train_days} are needed")
-    window = frame.where(F.col("date_idx").between(first, last) & F.col("eligible") & F.col("target_rank").isNotNull())
+    rows = frame.where(F.col("date_idx").between(first, last) & F.col("eligible") & F.col("target_rank").isNotNull())
+    return TrainingWindow(rows, date, at, first, last)
+
+
+def fit_and_score(prepared: PreparedData, config: AppConfig, as_of: str | None = None, scorer: Scorer = fit_and_predict) -> Scored:
+    """Trains on the window of the score date, scores its eligible rows."""
+    frame, m = prepared.frame, config.model
+    w = training_window(frame, config, as_of)
+    window, date, at, first, last = w.rows, w.date, w.at, w.first, w.last
     known = window.agg(F.count("*").alias("n")).first()["n"]
     if known < m.min_train_rows:
         raise ValueError(f"{known} training rows before {date}; {m.min_train_rows} are needed")

@@ -29,7 +29,7 @@ def config() -> AppConfig:
     c.model.min_train_days, c.model.train_lookback_days, c.model.min_train_rows = 60, 120, 100
     c.model.n_estimators, c.model.num_leaves, c.model.min_child_samples = 5, 8, 20
     c.selection.top_k, c.selection.max_industry_fraction = 10, 0.3
-    c.backtest.rebalance_every_days, c.backtest.max_periods = 20, 4
+    c.backtest.rebalance_every_days, c.backtest.max_periods = 20, None
     s = c.feature_screening
     s.min_screening_days, s.min_cross_sectional_stocks, s.min_abs_mean_ic, s.min_abs_ic_tstat = 10, 5, 0.0, 0.0
     s.min_feature_coverage = 0.2
@@ -59,7 +59,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1.0).alias("adj_factor"), (c("s_acctbal") * 1000000.0).alias("market_cap"), (c("discounted") / c("volume")).alias("turnover_rate"),
         (c("r") * 10 >= c("n") * 8).alias("is_st"), F.lit(False).alias("is_suspended"), (c("a") * 10 >= c("n") * 9).alias("is_limit_up"), F.lit(False).alias("is_limit_down"),
     )
-    df = with_calendar(df)
+    df = with_calendar(df, line.select("date"))
     df = df.withColumns({"listing_days": F.row_number().over(by_code()).cast("double"), "has_valid_market_data": valid_market_data()})
     return adjusted(df)
 

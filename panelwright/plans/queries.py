@@ -5,6 +5,7 @@ Derived numbers are rounded once, in the result; keys are never rounded.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -239,14 +240,11 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_RAW_SQL}, {_LABEL_SQL.format(source='raw')}, {_ELIGIBLE_SQL.format(source='labelled')}, e AS (SELECT max(date_idx) - 6 AS last FROM panel) SELECT date, count(*) AS n FROM eligible, e WHERE eligible AND target_rank IS NOT NULL AND date_idx BETWEEN last - 119 AND last GROUP BY date")
 def training_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by date that a model of the last date may be trained on."""
-    c = config()
-    frame = ft.build_features(panel(spark, sf_dir), c).frame
-    last = sl.as_of_index(frame)[1] - c.features.prediction_horizon - 1
-    window = frame.where(F.col("date_idx").between(last - c.model.train_lookback_days + 1, last) & F.col("eligible") & F.col("target_rank").isNotNull())
-    return window.groupBy("date").agg(F.count("*").alias("n"))
+    window = md.training_window(ft.build_features(panel(spark, sf_dir), config()).frame, config())
+    return window.rows.groupBy("date").agg(F.count("*").alias("n"))
 
 
-@_query("x AS (SELECT date, date_idx FROM calendar, (SELECT count(*) AS n FROM calendar) WHERE date_idx >= 66 AND date_idx < n - 6 AND (date_idx - 66) % 20 = 0 ORDER BY date_idx DESC LIMIT 4) SELECT * FROM x")
+@_query("x AS (SELECT date, date_idx FROM calendar, (SELECT count(*) AS n FROM calendar) WHERE date_idx >= 66 AND date_idx < n - 6 AND (date_idx - 66) % 20 = 0) SELECT * FROM x")
 def score_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = backtest_dates(panel(spark, sf_dir), config())
     return spark.createDataFrame(found, "date string, date_idx int").select(F.col("date").cast("date").alias("date"), "date_idx")
@@ -278,22 +276,24 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", panel="no")
 def dup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return mk.repeated_keys(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @_query("x AS (SELECT max(date) AS date, max(date_idx) AS date_idx FROM panel WHERE date <= DATE '1998-07-01') SELECT * FROM x")
 def asof_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).where(F.col("date") <= F.lit("1998-07-01").cast("date")).agg(F.max("date").alias("date"), F.max("date_idx").alias("date_idx"))
+    found = sl.as_of_index(panel(spark, sf_dir), "1998-07-01")
+    return spark.createDataFrame([found], "date string, date_idx int").select(F.col("date").cast("date").alias("date"), "date_idx")
 
 
 # --- joins of the vendor's frames ---
 
+# Periods of all orders, for codes c0 to c49; codes c50 to c59 have none.
 _PERIODS_SQL = """spans AS (SELECT 'c' || (o_custkey % 50) AS ts_code, CASE WHEN o_orderkey % 3 = 0 THEN '*ST x' ELSE 'plain' END AS name, cast(o_orderdate AS DATE) AS a,
-    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE cast(o_orderdate AS DATE) + 40 END AS z FROM orders WHERE o_orderkey % 97 = 0 AND o_custkey % 50 < 30)"""
+    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE cast(o_orderdate AS DATE) + 40 END AS z FROM orders)"""
 
 
 def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 97 = 0 AND o_custkey % 50 < 30")
+    o = read(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     return o.select(
         F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("ts_code"),
@@ -304,13 +304,13 @@ def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"{_PERIODS_SQL}, m AS (SELECT DISTINCT 'c' || (l_suppkey % 50) AS ts_code, cast(l_shipdate AS DATE) AS date FROM lineitem),"
+    f"{_PERIODS_SQL}, m AS (SELECT DISTINCT 'c' || (l_suppkey % 60) AS ts_code, cast(l_shipdate AS DATE) AS date FROM lineitem),"
     " x AS (SELECT ts_code, date, CASE WHEN ts_code IN (SELECT ts_code FROM spans) THEN EXISTS (SELECT 1 FROM spans s WHERE s.ts_code = m.ts_code AND name LIKE '%ST%' AND m.date >= a AND (z IS NULL OR m.date <= z))"
-    " ELSE ts_code IN ('c40', 'c41') END AS is_st FROM m) SELECT * FROM x"
+    " ELSE ts_code IN ('c55', 'c56') END AS is_st FROM m) SELECT * FROM x"
 )
 def interval_st(spark: SparkSession, sf_dir: str) -> DataFrame:
-    market = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("c"), (F.col("l_suppkey") % 50).cast("string")).alias("ts_code"), F.to_date("l_shipdate").alias("date")).distinct()
-    stocks = spark.range(50).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("ts_code"), F.when(F.col("id").isin(40, 41), "st y").otherwise("z").alias("name"))
+    market = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("c"), (F.col("l_suppkey") % 60).cast("string")).alias("ts_code"), F.to_date("l_shipdate").alias("date")).distinct()
+    stocks = spark.range(60).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("ts_code"), F.when(F.col("id").isin(55, 56), "st y").otherwise("z").alias("name"))
     return vd.with_st_flags(market, stocks, _periods(spark, sf_dir)).select("ts_code", "date", "is_st")
 
 
@@ -331,6 +331,54 @@ def vendor_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ts_code", F.date_format("date", "yyyyMMdd").alias("trade_date"), "volume", "amount", "market_cap", _rounded("turnover_rate", 8).alias("turnover_rate"), "is_limit_up", "industry", "listing_days")
 
 
+@_query(
+    "k AS (SELECT code AS ts_code, date, date_idx, code FROM panel), x AS (SELECT ts_code, strftime(date, '%Y%m%d') AS trade_date, 'industry ' || (cast(ts_code AS INT) % 5) AS industry,"
+    " cast(ts_code AS INT) % 3 = 0 AS is_st, CASE WHEN cast(ts_code AS INT) % 4 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE AS adj_factor FROM k WHERE date_idx % 11 <> 0) SELECT * FROM x"
+)
+def vendor_repeated_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code's first row of the dimension counts, its name and its industry;
+    missing factors are 1; rows without a price go."""
+    p = panel(spark, sf_dir).withColumns({"ts_code": F.col("code"), "trade_date": F.date_format("date", "yyyyMMdd")})
+    n = F.col("ts_code").cast("int")
+    close = F.when(F.col("date_idx") % 11 != 0, F.col("close"))
+    daily = p.select("ts_code", "trade_date", "open", "high", "low", close.alias("close"), F.col("volume").alias("vol"), "amount")
+    basic = p.select("ts_code", "trade_date", "turnover_rate", F.col("market_cap").alias("total_mv"), F.lit(0).alias("limit_status"))
+    adj = p.where(n % 4 != 0).select("ts_code", "trade_date", F.lit(2.0).alias("adj_factor"))
+    codes = read(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("ts_code"))
+    row = lambda name, industry: codes.select("ts_code", name.alias("name"), industry.alias("industry"), F.lit("19900101").alias("list_date"))
+    first = row(F.when(n % 3 == 0, "*ST a").otherwise("plain"), F.concat(F.lit("industry "), (n % 5).cast("string")))
+    masters = first.unionByName(row(F.when(n % 3 != 0, "*ST b").otherwise("later"), F.lit("later")))
+    out = vd.standard_market_data(daily, basic, adj, masters)
+    return out.select("ts_code", F.date_format("date", "yyyyMMdd").alias("trade_date"), "industry", "is_st", "adj_factor")
+
+
+@_query(
+    "x AS (SELECT date, date_idx, code, CASE WHEN cast(code AS INT) % 6 = 0 THEN 'UNKNOWN' ELSE industry END AS industry, open, close, CASE WHEN date_idx % 9 <> 0 THEN market_cap END AS market_cap,"
+    " CASE WHEN date_idx % 4 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE AS adj_factor, close * CASE WHEN date_idx % 4 = 0 THEN 1.0 ELSE 2.0 END AS adj_close, listing_days, date_idx % 2 = 0 AS is_st, cast(code AS INT) % 2 = 1 AS is_suspended, has_valid_market_data FROM panel) SELECT * FROM x"
+)
+def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel written as CSV with other headings, tokens and gaps, and loaded."""
+    p, n = panel(spark, sf_dir), F.col("code").cast("int")
+    raw = p.select(
+        F.when(F.col("date_idx") % 2 == 0, F.date_format("date", "yyyyMMdd")).otherwise(F.col("date").cast("string")).alias("day"),
+        F.concat(F.lit(" "), n.cast("string")).alias("stock"),
+        F.when(n % 6 == 0, "N/A").otherwise(F.col("industry")).alias("sector"),
+        "open", "high", "low", "close", "volume", "amount",
+        F.when(F.col("date_idx") % 9 == 0, "-").otherwise(F.col("market_cap").cast("string")).alias("market_cap"),
+        F.when(F.col("date_idx") % 4 == 0, 0.0).otherwise(2.0).alias("adj_factor"),
+        F.when(F.col("date_idx") % 2 == 0, "2").otherwise("0").alias("is_st"),
+        F.when(n % 2 == 1, "Yes").when(n % 4 == 0, "NaN").otherwise("f").alias("is_suspended"),
+    )
+    c = config()
+    c.data.date_col, c.data.code_col, c.data.industry_col = "day", "stock", "sector"
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/panel-{uuid.uuid4().hex}.csv")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    raw.write.option("header", True).csv(at.toString())
+    df = mk.standardise(mk.read_csv(spark, at.toString()), c.data)
+    return df.select(*_KEY, "date_idx", "industry", "open", "close", "market_cap", "adj_factor", "adj_close", "listing_days", "is_st", "is_suspended", "has_valid_market_data")
+
+
 @_query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1", panel="no")
 def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vd.keep_first(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
@@ -376,9 +424,9 @@ def newey_west(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(mt.newey_west(mt.daily_ic(_values(spark, sf_dir), ["a", "b", "c"], 5), 5), "feature", ic_tstat=F.col("ic_tstat"))
 
 
-@_query(f"{_VALUES_SQL} SELECT 'a' AS feature, round(avg((a IS NOT NULL AND target_rank IS NOT NULL)::INT), 6) AS coverage FROM v UNION ALL SELECT 'b', 1.0 FROM panel GROUP BY 2")
+@_query(f"{_VALUES_SQL} SELECT 'a' AS feature, round(avg((a IS NOT NULL AND target_rank IS NOT NULL)::INT), 6) AS coverage FROM v UNION ALL SELECT 'b', round(avg((b IS NOT NULL AND code <> '000007')::INT), 6) FROM v")
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _values(spark, sf_dir).withColumn("a", F.when(F.col("target_rank").isNotNull(), F.col("a")))
+    v = _values(spark, sf_dir).withColumns({"a": F.when(F.col("target_rank").isNotNull(), F.col("a")), "b": F.when(F.col("code") != "000007", F.col("b"))})
     found = coverage(v, ["a", "b"])
     return spark.createDataFrame(list(found.items()), "feature string, coverage double").select("feature", _rounded("coverage", 6).alias("coverage"))
 
@@ -495,6 +543,42 @@ def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*_KEY, _rounded("ai_calm", 5).alias("ai_calm"), _rounded("ai_turn", 3).alias("ai_turn"), _rounded("ai_peak", 5).alias("ai_peak"), _rounded("ai_nest", 5).alias("ai_nest"))
 
 
+_DSL_MORE = {
+    "ai_most": "maximum(lag(volume, 3), volume) / 2",
+    "ai_floor": "rolling_min(amount, 5)",
+    "ai_total": "rolling_sum(volume, 10) - 1",
+}
+
+
+@_query(
+    f"a AS (SELECT *, lag(volume, 3) {_BY} AS l3 FROM panel) SELECT date, code, round(CASE WHEN l3 IS NOT NULL THEN greatest(l3, volume) / 2 END, 6) AS ai_most,"
+    f" round({_roll('min', 'amount', 5)}, 4) AS ai_floor, round({_roll('sum', 'volume', 10)} - 1, 6) AS ai_total FROM a"
+)
+def expressions_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compile_features(_DSL_MORE, {"amount", "volume"}).apply(panel(spark, sf_dir))
+    return df.select(*_KEY, _rounded("ai_most", 6).alias("ai_most"), _rounded("ai_floor", 4).alias("ai_floor"), _rounded("ai_total", 6).alias("ai_total"))
+
+
+# weight w of the mean so far decays over gaps; n values were seen
+_EMA_GAPS = f"""n AS (SELECT code, date, CASE WHEN date_idx % 7 <> 0 THEN adj_close - lag(adj_close, 1) {_BY} END AS v, row_number() {_BY} AS i FROM panel),
+    e AS (SELECT code, date, i, v AS y, 1.0::DOUBLE AS w, (v IS NOT NULL)::INT AS seen FROM n WHERE i = 1 UNION ALL
+        SELECT n.code, n.date, n.i, CASE WHEN e.y IS NULL THEN n.v WHEN n.v IS NULL THEN e.y ELSE (e.w * (1 - 2.0 / 5) * e.y + 2.0 / 5 * n.v) / (e.w * (1 - 2.0 / 5) + 2.0 / 5) END,
+        CASE WHEN n.v IS NOT NULL OR e.y IS NULL THEN 1.0 ELSE e.w * (1 - 2.0 / 5) END, e.seen + (n.v IS NOT NULL)::INT FROM e JOIN n ON n.code = e.code AND n.i = e.i + 1)
+    SELECT date, code, round(CASE WHEN seen >= 4 THEN y END, 5) AS ai_smooth FROM e"""
+
+
+@_query(_EMA_GAPS)
+def expressions_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language's exponential mean over a difference with gaps."""
+    p = panel(spark, sf_dir).select(*_KEY, "date_idx", "adj_close")
+    p = p.withColumn("volume", F.when(F.col("date_idx") % 7 != 0, 1.0))
+    df = compile_features({"ai_smooth": "ema(delta(adj_close, 1) * volume, 4)"}, {"adj_close", "volume"}).apply(p)
+    return df.select(*_KEY, _rounded("ai_smooth", 5).alias("ai_smooth"))
+
+
+ORACLES["expressions_ema"] = ORACLES["expressions_ema"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @_query()
 def screening_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     definitions = [FeatureDefinition(k, v, "A test of the screener.") for k, v in (_DSL | {"ai_calm_again": f"2 * {_DSL['ai_calm']}", "ai_ema": "ema(adj_close, 5) / adj_close"}).items()]

@@ -17,8 +17,8 @@ REQUIRED = (*PRICES, "volume", "amount")
 NUMERIC_OPTIONAL = ("adj_factor", "market_cap", "turnover_rate", "listing_days")
 FLAGS = ("is_st", "is_suspended", "is_limit_up", "is_limit_down")
 
-# Tokens of a missing cell, and of true and false, in lower case.
-MISSING = ("", "#n/a", "#na", "-nan", "<na>", "n/a", "na", "nan", "none", "null")
+# Tokens of a missing cell (as they are written), and of true and false, in lower case.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 TRUE = ("1", "true", "t", "yes", "y", "是")
 FALSE = ("0", "false", "f", "no", "n", "否", "", "<na>")
 
@@ -28,7 +28,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     if "://" not in str(path) and not Path(path).exists():
         raise FileNotFoundError(f"no input at {path}")
     raw = spark.read.option("header", True).option("multiLine", False).csv(str(path))
-    return raw.select(*(F.when(~F.lower(F.trim(F.col(f"`{c}`"))).isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns))
+    return raw.select(*(F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns))
 
 
 def parsed_date(x: Column) -> Column:
@@ -51,14 +51,14 @@ def flag(x: Column, numeric: bool = False) -> Column:
     return F.when(x.isNull() | text.isin(*FALSE), False).when(text.isin(*TRUE), True)
 
 
-def _checked(df: DataFrame, bad: Column, message: str, *shown: str) -> None:
-    if rows := df.where(bad).select(*shown).limit(5).collect():
-        raise ValueError(f"{message}: {[tuple(r) for r in rows]}")
+def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys that occur more than once, with their number n of rows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def unique_keys(df: DataFrame, *keys: str) -> None:
     """Raises with up to ten keys that occur more than once."""
-    if rows := df.groupBy(*keys).count().where("count > 1").orderBy(*keys).limit(10).collect():
+    if rows := repeated_keys(df, *keys).orderBy(*keys).limit(10).collect():
         raise ValueError(f"duplicate {'/'.join(keys)} rows: {[tuple(r)[:-1] for r in rows]}")
 
 
@@ -74,17 +74,18 @@ def adjusted(df: DataFrame) -> DataFrame:
     return df.withColumns({f"adj_{c}": F.col(c) * F.col("adj_factor") for c in PRICES})
 
 
-def with_calendar(df: DataFrame) -> DataFrame:
+def with_calendar(df: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """df with date_idx: the date's place among the dates of the data. The
-    calendar has one row per date, and so may be broadcast."""
-    days = df.select("date").distinct().withColumn("date_idx", (F.row_number().over(W.orderBy("date")) - 1).cast("int"))
+    calendar has one row per date, and so may be broadcast. dates: a column
+    `date` with the same dates, where it is cheaper to read than df's."""
+    days = (df if dates is None else dates).select("date").distinct().withColumn("date_idx", (F.row_number().over(W.orderBy("date")) - 1).cast("int"))
     return df.join(F.broadcast(days), "date")
 
 
 def standardise(raw: DataFrame, config: DataConfig | None = None, check: bool = True) -> DataFrame:
     """The canonical panel of a frame with date, code, open, high, low, close,
     volume, amount and any optional columns; others pass through. check: reject
-    bad dates, empty codes, unknown flags and duplicate keys (a pass each)."""
+    bad dates, empty codes and unknown flags (one pass), and duplicate keys."""
     names = config or DataConfig()
     if missing := [c for c in (names.date_col, names.code_col, *REQUIRED) if c not in raw.columns]:
         raise ValueError(f"missing columns: {missing}")
@@ -92,27 +93,33 @@ def standardise(raw: DataFrame, config: DataConfig | None = None, check: bool =
     df = raw.withColumnsRenamed(renamed)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     typed = df.withColumns({"date": parsed_date(F.col("date")), "code": normal_code(F.col("code"))})
+    tokens = [c for c in FLAGS if c in kinds and not isinstance(kinds[c], (BooleanType, NumericType))]
+    undated, uncoded = F.col("date").isNull(), F.col("code").isNull() | (F.col("code") == "")
+    odd = {c: F.col(c).isNotNull() & number(F.col(c)).isNull() for c in tokens}
+    strange = {c: flag(F.col(c)).isNull() for c in tokens}
+    numeric = {c for c in FLAGS if c in kinds and isinstance(kinds[c], NumericType)}
     if check:
-        _checked(df.select("date", parsed_date(F.col("date")).alias("parsed")), F.col("parsed").isNull(), "dates that can't be read", "date")
-        _checked(typed, F.col("code").isNull() | (F.col("code") == ""), "rows without a code", "date", "code")
+        # all faults are counted in one pass; examples are fetched only of those there are
+        counts = typed.agg(F.count_if(undated), F.count_if(uncoded), *(F.count_if(x[c]) for c in tokens for x in (odd, strange))).first()
+        if counts[0]:
+            raise ValueError(f"dates that can't be read: {[r[0] for r in df.where(parsed_date(F.col('date')).isNull()).select('date').limit(5).collect()]}")
+        if counts[1]:
+            raise ValueError(f"rows without a code: {[tuple(r) for r in typed.where(uncoded).select('date', 'code').limit(5).collect()]}")
+        unknown = []
+        for c, no_number, no_token in zip(tokens, counts[2::2], counts[3::2], strict=True):
+            if not no_number:
+                numeric.add(c)
+            elif no_token:
+                unknown += [(c, r[0]) for r in typed.where(strange[c]).select(c).distinct().orderBy(c).limit(10).collect()]
+        if unknown:
+            raise ValueError(f"flags that are neither true nor false: {unknown}")
     columns: dict[str, Column] = {c: number(F.col(c)) for c in REQUIRED}
     columns |= {c: number(F.col(c)) if c in kinds else F.lit(None).cast("double") for c in NUMERIC_OPTIONAL}
-    unknown = []
     for c in FLAGS:
         if c not in kinds:
             columns[c] = F.lit(False)
-        elif isinstance(kinds[c], BooleanType):
-            columns[c] = F.coalesce(F.col(c), F.lit(False))
         else:
-            numeric = isinstance(kinds[c], NumericType)
-            if not numeric and check:
-                seen = typed.agg(F.count_if(F.col(c).isNotNull() & number(F.col(c)).isNull()).alias("odd")).first()["odd"]
-                numeric = not seen
-            if check and not numeric:
-                unknown += [(c, r[0]) for r in typed.where(flag(F.col(c)).isNull()).select(c).distinct().orderBy(c).limit(10).collect()]
-            columns[c] = F.coalesce(flag(F.col(c), numeric), F.lit(False))
-    if unknown:
-        raise ValueError(f"flags that are neither true nor false: {unknown}")
+            columns[c] = F.coalesce(F.col(c) if isinstance(kinds[c], BooleanType) else flag(F.col(c), c in numeric), F.lit(False))
     columns["industry"] = F.coalesce(F.nullif(F.col("industry").cast("string"), F.lit("")), F.lit("UNKNOWN")) if "industry" in kinds else F.lit("UNKNOWN")
     typed = typed.withColumns(columns)
     typed = typed.withColumn("adj_factor", F.coalesce(F.nullif("adj_factor", F.lit(0.0)), F.lit(1.0)))

@@ -13,6 +13,7 @@ from urllib.request import Request, urlopen
 
 from ..config import AppConfig
 from ..operators.expressions import DEFAULT_INPUTS, DIRECTIONS, FUNCTIONS, MAX_LOOKBACK, NAME, FeatureDefinition, parse_feature_candidates
+from .retry import retried
 
 MOST = 100
 
@@ -97,22 +98,25 @@ class ProposalGenerator:
     def post(self, payload: dict[str, Any]) -> dict[str, Any]:
         """Retried on 429, 5xx, lost connections and answers without content, with
         a growing pause; other statuses fail at once."""
-        request, error = self._request(payload), None
-        for attempt in range(1, self.config.max_retries + 1):
-            try:
-                with self.opener(request, timeout=self.config.timeout_seconds) as response:
-                    answer = json.loads(response.read().decode())
-                _content(answer)
-                return answer
-            except HTTPError as e:
-                if e.code != 429 and e.code < 500:
-                    raise RuntimeError(f"the service answered {e.code}: {e.read().decode(errors='replace')[:500]}") from e
-                error = e
-            except (URLError, TimeoutError, ValueError, RuntimeError) as e:
-                error = e
-            if attempt < self.config.max_retries:
-                self.sleep(self.config.retry_backoff_seconds * attempt)
-        raise RuntimeError(f"the service failed {self.config.max_retries} times: {error}") from error
+        c, request = self.config, self._request(payload)
+
+        def ask() -> dict[str, Any]:
+            with self.opener(request, timeout=c.timeout_seconds) as response:
+                answer = json.loads(response.read().decode())
+            _content(answer)
+            return answer
+
+        def again(e: Exception) -> bool:
+            return e.code == 429 or e.code >= 500 if isinstance(e, HTTPError) else isinstance(e, (URLError, TimeoutError, ValueError, RuntimeError))
+
+        try:
+            return retried(ask, c.max_retries, c.retry_backoff_seconds, self.sleep, again)
+        except HTTPError as e:
+            if not again(e):
+                raise RuntimeError(f"the service answered {e.code}: {e.read().decode(errors='replace')[:500]}") from e
+            raise RuntimeError(f"the service failed {c.max_retries} times: {e}") from e
+        except (URLError, TimeoutError, ValueError, RuntimeError) as e:
+            raise RuntimeError(f"the service failed {c.max_retries} times: {e}") from e
 
     def generate(self, count: int | None = None) -> GenerationResult:
         n = self.config.proposal_count if count is None else count
