@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import partitions, texts
+from ._common import delete_path, new_path, partitions, texts
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -26,7 +27,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, extra: Callable[[byt
     """The name of a table with docs (doc_id, text) as blocks: a number; the ids as int64, and whether
     they are known (not null) as bytes; the texts' sizes as int64; the texts,
     compressed; and what extra makes of the joined texts and their sizes. Bucketed by number over as many buckets as shuffles have
-    partitions, in the session's warehouse; the caller drops it."""
+    partitions, in the shared folder; the caller drops it (see dropped)."""
     spark = docs.sparkSession
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,10 +64,23 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, extra: Callable[[byt
 
     name = f"blocks_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, SCHEMA)
-    rows.write.bucketBy(partitions(spark), "block").format("parquet").saveAsTable(name)
+    rows.write.bucketBy(partitions(spark), "block").format("parquet").option("path", new_path(spark, name)).saveAsTable(name)
     return name
 
 
+@contextmanager
+def dropped(spark: SparkSession, name: str) -> Iterator[DataFrame]:
+    """The table, dropped with its files in the end, whatever happens."""
+    blocks = spark.table(name)
+    files = blocks.inputFiles()
+    try:
+        yield blocks
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for folder in {path.rsplit("/", 1)[0] for path in files}:
+            delete_path(spark, folder)
+
+
 def unpack(sizes: bytes, text: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(text)
     ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import partitions, stage, table
-from .blocks import BLOCK_BYTES, ids_of, packed, unpack
+from .blocks import BLOCK_BYTES, dropped, ids_of, packed, unpack
 
 #: n-grams of all blocks that one shard may hold, on average.
 SHARD_GRAMS = 4_000_000
@@ -226,8 +226,12 @@ def score_documents(docs: DataFrame, order: int = 2, prior: float = 8.0, block_b
     out. Null and empty texts are an end token. A null id trains; repeated rows
     train and score each for itself. No rows: no rows."""
     spark = docs.sparkSession
-    name = packed(docs, block_bytes)
-    blocks = spark.table(name).drop("extra")
+    with dropped(spark, packed(docs, block_bytes)) as blocks:
+        return _scored(blocks.drop("extra"), order, prior, block_bytes)
+
+
+def _scored(blocks: DataFrame, order: int, prior: float, block_bytes: int) -> DataFrame:
+    spark = blocks.sparkSession
     n_blocks = blocks.select("block").count()
     shards = max(partitions(spark), -(-n_blocks * (block_bytes // 6) // SHARD_GRAMS))
 
@@ -289,9 +293,7 @@ def score_documents(docs: DataFrame, order: int = 2, prior: float = 8.0, block_b
 
     joined = blocks.join(by_block, "block").select("ids", "known", "sizes", "text", "parts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = stage(joined.mapInArrow(traverse, schema), "scores")
-    spark.sql(f"DROP TABLE {name}")
-    return scored
+    return stage(joined.mapInArrow(traverse, schema), "scores")
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,10 @@ Runs whose k-gram occurs once hold nothing repeated. Of the others
 
 Texts lie in a bucketed table of blocks and aren't shuffled: what is sent is a
 row for each run (one for about 77 bytes), and the bytes of each different run
-once. All three ways are exact, whatever the number of copies.
+once. No copies are dropped in any way, whatever their number. Bytes are compared
+in suffix arrays; runs equal as a whole are told by a 64-bit hash of their bytes
+within one k-gram's, spread windows by two 64-bit hashes, which could in principle
+meet by chance.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import partitions, stage, table
-from .blocks import BLOCK_BYTES, ids_of, packed, unpack
+from .blocks import BLOCK_BYTES, dropped, ids_of, packed, unpack
 from .lyndon import suffix_arrays
 
 LENGTH = 200
@@ -161,10 +164,15 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs
     (doc_id, text). Null text counts as empty; repeated rows are documents of
-    their own, and so remove each other; texts shorter than `length` lose nothing."""
-    spark = docs.sparkSession
+    their own, and so remove each other; texts shorter than `length` lose nothing.
+    Texts are read whole; a longer one than a block is a block of its own. No rows: no rows."""
     name = packed(docs, block_bytes, lambda joined, sizes: _held(*runs(np.frombuffer(joined, np.uint8), sizes, length, gram)[:2]))
-    blocks = spark.table(name)
+    with dropped(docs.sparkSession, name) as blocks:
+        return _deduplicated(blocks, length, gram, many)
+
+
+def _deduplicated(blocks: DataFrame, length: int, gram: int, many: int) -> DataFrame:
+    spark = blocks.sparkSession
 
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,9 +282,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: i
                 yield _batch(columns, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = blocks.join(by_block, "block", "left").select("ids", "known", "sizes", "text", "extra", "run", "begin", "windows")
-    out = stage(joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "kept")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return stage(joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "kept")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
