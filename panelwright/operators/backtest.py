@@ -35,15 +35,18 @@ class SelectionDiagnostics:
 
 @dataclass(frozen=True)
 class SelectionResult:
-    """held: the persisted rows that both frames read; release() when done."""
+    """codes: the basket's, in its order. held: the persisted rows that both
+    frames read (one date's universe, and its basket); release() when done."""
 
     candidates: DataFrame
     scored_universe: DataFrame
     diagnostics: SelectionDiagnostics
-    held: DataFrame
+    codes: list[str]
+    held: tuple[DataFrame, ...]
 
     def release(self) -> None:
-        self.held.unpersist()
+        for frame in self.held:
+            frame.unpersist()
 
 
 @dataclass(frozen=True)
@@ -109,12 +112,13 @@ class CandidateSelector:
         eligible = universe.count()
         if lean is not prepared:
             lean.frame.unpersist()
-        basket = constrained_top_k(universe, self.config.selection, previous)
+        basket = constrained_top_k(universe, self.config.selection, previous).persist()
+        codes = [r["code"] for r in basket.orderBy("candidate_position").select("code").collect()]
         d = scored.diagnostics
         found = SelectionDiagnostics(
-            d.model_type, scored.score_date, scored.training_start, scored.training_end, scored.training_days, d.rows, eligible, basket.count(), d.active_features, d.trained_trees, industry_cap(self.config.selection)
+            d.model_type, scored.score_date, scored.training_start, scored.training_end, scored.training_days, d.rows, eligible, len(codes), d.active_features, d.trained_trees, industry_cap(self.config.selection)
         )
-        return SelectionResult(basket.orderBy("candidate_position"), universe.orderBy("global_rank"), found, universe)
+        return SelectionResult(basket.orderBy("candidate_position"), universe.orderBy("global_rank"), found, codes, (universe, basket))
 
     def select_from_csv(self, spark: SparkSession, path: str, as_of: str | None = None, previous_path: str | None = None) -> SelectionResult:
         before = previous_codes(spark, previous_path) if previous_path else None
@@ -133,7 +137,7 @@ class CandidateSelector:
                 results.append(result)
                 universes.append(result.scored_universe.withColumn("period", F.lit(period)))
                 baskets.append(result.candidates.withColumn("period", F.lit(period)))
-                before = [r["code"] for r in result.candidates.select("code").collect()]
+                before = result.codes
             scored, held = reduce(DataFrame.unionByName, universes), reduce(DataFrame.unionByName, baskets)
             periods = self._periods(scored, held).persist()
             holdings = held.orderBy("date", "candidate_position").select(*_HELD).persist()

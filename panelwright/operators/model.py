@@ -151,12 +151,15 @@ def fit_and_score(prepared: PreparedData, config: AppConfig, as_of: str | None =
     frame, m = prepared.frame, config.model
     w = training_window(frame, config, as_of)
     window, date, at, first, last = w.rows, w.date, w.at, w.first, w.last
-    known = window.agg(F.count("*").alias("n")).first()["n"]
+    today = frame.where((F.col("date_idx") == at) & F.col("eligible"))
+    # what the guards and the report ask, in one pass over the dates from the window to the score date
+    day = lambda i: F.date_format(F.max(F.when(F.col("date_idx") == i, F.col("date"))), "yyyy-MM-dd")
+    trains = (F.col("date_idx") <= last) & F.col("target_rank").isNotNull()
+    facts = (F.count_if(F.col("eligible") & trains), F.count_if(F.col("eligible") & (F.col("date_idx") == at)), day(first), day(last))
+    known, eligible, start, end = frame.where(F.col("date_idx").between(first, at)).agg(*(x.alias(f"x{i}") for i, x in enumerate(facts))).first()
     if known < m.min_train_rows:
         raise ValueError(f"{known} training rows before {date}; {m.min_train_rows} are needed")
-    ends = {r["date_idx"]: r["date"].isoformat() for r in frame.where(F.col("date_idx").isin(first, last)).select("date_idx", "date").distinct().collect()}
-    today = frame.where((F.col("date_idx") == at) & F.col("eligible"))
-    if today.isEmpty():
+    if not eligible:
         raise ValueError(f"nothing is eligible on {date}")
     rows, diagnostics = scorer(window, today, prepared.feature_columns, m)
-    return Scored(with_selection_score(rows, config.selection), diagnostics, date, ends[first], ends[last], last - first + 1)
+    return Scored(with_selection_score(rows, config.selection), diagnostics, date, start, end, last - first + 1)
