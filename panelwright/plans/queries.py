@@ -20,7 +20,7 @@ from ..operators import selection as sl
 from ..operators.backtest import CandidateSelector
 from ..operators.backtest import score_dates as backtest_dates
 from ..operators.expressions import FeatureDefinition, compile_features
-from ..operators.screening import coverage, screen_feature_definitions
+from ..operators.screening import coverage, screen_feature_definitions, screening_window
 from ..sources import market as mk
 from ..sources import vendor as vd
 from .fixture import SQL, config, panel, read
@@ -579,10 +579,62 @@ def expressions_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["expressions_ema"] = ORACLES["expressions_ema"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@_query()
+_SCREENED = _DSL | {"ai_calm_again": f"2 * {_DSL['ai_calm']}", "ai_ema": "ema(adj_close, 5) / adj_close"}
+_CALM = "CASE WHEN abs(s20) > 1e-12 THEN d5 / s20 END"
+# the features' values as floats, as the engine keeps them before ranking
+_SCREEN_SQL = f"""{_RAW_SQL}, {_LABEL_SQL.format(source="raw")}, {_ELIGIBLE_SQL.format(source="labelled")},
+n AS (SELECT code, date, adj_close AS v, row_number() {_BY} AS i FROM panel),
+means AS (SELECT code, date, i, v AS y FROM n WHERE i = 1 UNION ALL SELECT n.code, n.date, n.i, means.y * (1 - 2.0 / 6) + n.v * (2.0 / 6) FROM means JOIN n ON n.code = means.code AND n.i = means.i + 1),
+w AS (SELECT *, {_roll("stddev_pop", "adj_close", 20)} AS s20, {_roll("avg", "amount", 10)} AS m10, {_roll("avg", "adj_close", 10)} AS zm, {_roll("stddev_pop", "adj_close", 10)} AS zs,
+    adj_close / nullif(lag(adj_close, 2) {_BY}, 0) - 1 AS g2, lag(amount) {_BY} AS la, adj_close - lag(adj_close, 5) {_BY} AS d5 FROM eligible),
+z AS (SELECT *, CASE WHEN zs > 1e-12 THEN (adj_close - zm) / zs END AS z10, ln(1 + volume) AS lv, {_roll("max", "g2", 5)} AS top FROM w),
+made AS (SELECT z.date, z.code, z.eligible, z.target_rank, ({_CALM})::FLOAT AS ai_calm, (-(la / 2 - m10) * 0.5)::FLOAT AS ai_turn, (CASE WHEN z10 IS NOT NULL THEN greatest(-1, least(least(z10, lv), 2)) END)::FLOAT AS ai_peak,
+    (top + abs(turnover_rate))::FLOAT AS ai_nest, (2 * {_CALM})::FLOAT AS ai_calm_again, (CASE WHEN i >= 5 THEN y / adj_close END)::FLOAT AS ai_ema FROM z JOIN means USING (code, date)),
+ranked AS (SELECT *, {", ".join(f"({_rank(x)})::FLOAT::DOUBLE AS {x}_cs" for x in _SCREENED)} FROM made),
+v AS (SELECT * FROM ranked WHERE eligible AND target_rank IS NOT NULL),
+ics AS ({" UNION ALL ".join(
+    f"SELECT '{k}' AS feature, date, {_corr(f'{k}_cs', 'target_rank')} AS ic FROM v GROUP BY date HAVING count({k}_cs) >= 5 AND min(CASE WHEN {k}_cs IS NOT NULL THEN target_rank END) < max(CASE WHEN {k}_cs IS NOT NULL THEN target_rank END) AND min({k}_cs) < max({k}_cs)"
+    for k in _SCREENED
+)}),
+c AS (SELECT *, ic - avg(ic) OVER (PARTITION BY feature) AS d, count(*) OVER (PARTITION BY feature) AS n FROM ics), t AS (SELECT feature, ic, n, {_NW} AS term FROM c),
+stat AS (SELECT feature, count(*) AS ic_days, avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, avg((ic > 0)::INT) AS positive_ic_fraction,
+    CASE WHEN count(*) > 1 AND sum(term) > 0 THEN avg(ic) / sqrt(sum(term) / count(*) / count(*)) END AS ic_tstat FROM t GROUP BY feature),
+named AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{x}')" for i, (k, x) in enumerate(_SCREENED.items()))}) AS f(pos, name, expression)),
+cover AS ({" UNION ALL ".join(f"SELECT '{k}' AS feature, avg(({k}_cs IS NOT NULL)::INT) AS coverage FROM v" for k in _SCREENED)}),
+told AS (SELECT named.*, coverage, coalesce(ic_days, 0) AS ic_days, mean_ic, ic_std, ic_tstat, positive_ic_fraction,
+    concat_ws(',', CASE WHEN coverage < 0.2 THEN 'coverage' END, CASE WHEN coalesce(ic_days, 0) < 10 THEN 'screening_days' END, CASE WHEN mean_ic IS NULL THEN 'mean_ic' END, CASE WHEN ic_tstat IS NULL THEN 'ic_tstat' END) AS why
+    FROM named JOIN cover ON cover.feature = name LEFT JOIN stat ON stat.feature = name),
+line AS (SELECT name, row_number() OVER (ORDER BY round(abs(mean_ic), 9) DESC, pos) AS i FROM told WHERE why = ''),
+pairs AS ({" UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, coalesce(abs({_corr(f'{x}_cs', f'{y}_cs')}), 0) AS r FROM v" for x in _SCREENED for y in _SCREENED if x != y)}),
+chosen AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS name, []::VARCHAR[] AS taken, NULL::DOUBLE AS worst, NULL::VARCHAR AS other UNION ALL
+    SELECT i, name, CASE WHEN worst > 0.85 THEN taken ELSE list_append(taken, name) END, worst, other FROM (
+        SELECT line.i, line.name, chosen.taken, coalesce(max(r), 0) AS worst, CASE WHEN coalesce(max(r), 0) > 0 THEN arg_max(y, r) ELSE '' END AS other
+        FROM chosen JOIN line ON line.i = chosen.i + 1 LEFT JOIN pairs ON pairs.x = line.name AND list_contains(chosen.taken, pairs.y) GROUP BY line.i, line.name, chosen.taken) step)
+SELECT told.name, expression, round(coverage, 6) AS coverage, ic_days, round(mean_ic, 6) AS mean_ic, round(ic_std, 6) AS ic_std, round(ic_tstat, 5) AS ic_tstat, round(positive_ic_fraction, 6) AS positive_ic_fraction,
+    'newey_west' AS ic_tstat_method, 5 AS ic_hac_lags, CASE WHEN why <> '' THEN 'rejected_threshold' WHEN worst > 0.85 THEN 'rejected_redundancy' ELSE 'accepted' END AS status,
+    CASE WHEN why <> '' THEN why WHEN worst > 0.85 THEN 'pairwise_correlation' ELSE '' END AS rejection_reason, round(worst, 6) AS max_abs_correlation, coalesce(other, '') AS correlated_with
+    FROM told LEFT JOIN chosen ON chosen.name = told.name"""
+
+
+@_query(_SCREEN_SQL)
 def screening_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    definitions = [FeatureDefinition(k, v, "A test of the screener.") for k, v in (_DSL | {"ai_calm_again": f"2 * {_DSL['ai_calm']}", "ai_ema": "ema(adj_close, 5) / adj_close"}).items()]
-    return screen_feature_definitions(panel(spark, sf_dir), config(), definitions).report
+    definitions = [FeatureDefinition(k, v, "A test of the screener.") for k, v in _SCREENED.items()]
+    report = screen_feature_definitions(panel(spark, sf_dir), config(), definitions).report
+    digits = {"coverage": 6, "mean_ic": 6, "ic_std": 6, "ic_tstat": 5, "positive_ic_fraction": 6, "max_abs_correlation": 6}
+    return report.select(*(_rounded(x, digits[x]).alias(x) if x in digits else x for x in report.columns if x not in ("rationale", "expected_direction")))
+
+
+ORACLES["screening_report"] = ORACLES["screening_report"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@_query(
+    f"{_RAW_SQL}, {_LABEL_SQL.format(source='raw')}, {_ELIGIBLE_SQL.format(source='labelled')}, e AS (SELECT max(date_idx) - 6 AS last FROM panel WHERE date <= DATE '1997-06-30')"
+    " SELECT date, count(*) AS n FROM eligible, e WHERE eligible AND target_rank IS NOT NULL AND date >= DATE '1994-01-01' AND date_idx <= last GROUP BY date"
+)
+def screening_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by date of a screening period whose labels are known by its end."""
+    rows, _ = screening_window(ft.build_features(panel(spark, sf_dir), config()).frame, 5, "1994-01-01", "1997-06-30")
+    return rows.groupBy("date").agg(F.count("*").alias("n"))
 
 
 @_query()
@@ -591,10 +643,74 @@ def gbt_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selector.select_prepared(selector.prepare(panel(spark, sf_dir))).candidates.select(*_KEY, "industry", "candidate_position", "selection_reason", "selection_score")
 
 
-@_query()
+_float_rank = lambda x: f"({_rank(x)})::FLOAT::DOUBLE"
+# eligible rows of all dates with the linear score, ranked by the scores' own bits
+_LINEAR_SQL = f"""{_RAW_SQL}, {_LABEL_SQL.format(source="raw")},
+ranked AS (SELECT *, {_float_rank("volatility_20")} AS volatility_20_cs, {_float_rank("amihud_20")} AS amihud_20_cs, {_float_rank("momentum_20")} AS momentum_20_cs, {_float_rank("volume_ratio_20")} AS volume_ratio_20_cs FROM labelled),
+{_ELIGIBLE_SQL.format(source="ranked")},
+alpha AS (SELECT *, coalesce(momentum_20_cs, 0) + coalesce(volume_ratio_20_cs, 0) * 0.5 AS model_score FROM eligible WHERE eligible),
+alphas AS (SELECT *, {_rank("model_score")} + 0.5 AS alpha_percentile FROM alpha),
+scored AS (SELECT *, alpha_percentile - (0.05 * (coalesce(volatility_20_cs, 0) + 0.5) + 0.05 * (coalesce(amihud_20_cs, 0) + 0.5)) AS selection_score FROM alphas),
+placed AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY selection_score DESC, code) AS global_rank FROM scored)"""
+_LINEAR = {"momentum_20_cs": 1.0, "volume_ratio_20_cs": 0.5}
+
+# each period's basket keeps members of the one before, so baskets are made one after the other
+_TOP_OF_HELD = _TOP_SQL.format(held="held").replace("FROM placed", "FROM {source}")
+_BACKTEST_SQL = f"""{_LINEAR_SQL},
+dates AS (SELECT date, row_number() OVER (ORDER BY date) AS period FROM calendar, (SELECT count(*) AS n FROM calendar) WHERE date_idx >= 66 AND date_idx < n - 6 AND (date_idx - 66) % 20 = 0),
+universe AS MATERIALIZED (SELECT placed.*, period FROM placed JOIN dates USING (date)),
+chain AS (SELECT 0::BIGINT AS period, []::VARCHAR[] AS codes UNION ALL
+    SELECT period, list(code) FROM (WITH {_TOP_OF_HELD.format(source="(SELECT u.*, list_contains(chain.codes, u.code) AS held FROM chain JOIN universe u ON u.period = chain.period + 1)")} SELECT period, code FROM basket) step GROUP BY period),
+{_TOP_OF_HELD.format(source="(SELECT u.*, list_contains(chain.codes, u.code) AS held FROM chain JOIN universe u ON u.period = chain.period + 1)")},
+sizes AS (SELECT period, count(*) AS n FROM basket GROUP BY period),
+met AS (SELECT b.period, count(*) AS k FROM basket b JOIN basket g ON g.period = b.period - 1 AND g.code = b.code GROUP BY b.period),
+changed AS (SELECT s.period, CASE WHEN p.n IS NOT NULL THEN 1 - coalesce(k, 0) / greatest(s.n, p.n, 1) END AS turnover FROM sizes s LEFT JOIN sizes p ON p.period = s.period - 1 LEFT JOIN met ON met.period = s.period),
+orders_of AS (SELECT period, {_average_rank_sql("model_score")} AS a, {_average_rank_sql("target_excess_return")} AS b FROM universe),
+whole AS (SELECT period, count(*) AS eligible_count, {_corr("a", "b")} AS spearman_ic FROM orders_of GROUP BY period),
+periods AS (SELECT period, date, count(*) AS candidate_count, avg(forward_return) AS basket_forward_return, avg(target_excess_return) AS basket_excess_return,
+    avg(coalesce(target_excess_return > 0, false)::INT) AS positive_excess_rate, avg(coalesce(target_rank >= 0.3, false)::INT) AS precision_top_20pct FROM basket GROUP BY period, date)"""
+_MEANS = ("basket_forward_return", "basket_excess_return", "precision_top_20pct", "spearman_ic", "turnover")
+_PERIOD = ("basket_forward_return", "basket_excess_return", "positive_excess_rate", "precision_top_20pct", "spearman_ic", "turnover")
+
+
+@_query(
+    f"{_BACKTEST_SQL}, every AS (SELECT * FROM periods JOIN whole USING (period) JOIN changed USING (period)),"
+    f" summary AS (SELECT strftime(min(date), '%Y-%m-%d') AS start_date, strftime(max(date), '%Y-%m-%d') AS end_date, count(*) AS periods, {', '.join(f'avg({x}) AS mean_{x}' for x in _MEANS)},"
+    " avg(basket_forward_return) / stddev_samp(basket_forward_return) * sqrt(252.0 / 20) AS period_return_sharpe FROM every)"
+    f" SELECT date, code, b.industry, candidate_position, global_rank, round(selection_score, 6) AS selection_score, round(forward_return, 6) AS forward_return, selection_reason, candidate_count, eligible_count,"
+    f" {', '.join(f'round({x}, 6) AS {x}' for x in _PERIOD)}, start_date, end_date, periods, 10 AS top_k, 5 AS prediction_horizon_days, 20 AS rebalance_every_days, {', '.join(f'round(mean_{x}, 6) AS mean_{x}' for x in _MEANS)},"
+    " round(period_return_sharpe, 5) AS period_return_sharpe FROM basket b JOIN every USING (date), summary"
+)
 def backtest_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selector = CandidateSelector(config(), md.linear_score({"momentum_20_cs": 1.0, "volume_ratio_20_cs": 0.5}))
-    return selector.backtest_prepared(selector.prepare(panel(spark, sf_dir))).periods
+    """The holdings, each with its period's metrics and the summary."""
+    selector = CandidateSelector(config(), md.linear_score(_LINEAR))
+    found = selector.backtest_prepared(selector.prepare(panel(spark, sf_dir)))
+    held = found.holdings.select(*_KEY, "industry", "candidate_position", "global_rank", *(_rounded(x, 6).alias(x) for x in ("selection_score", "forward_return")), "selection_reason")
+    rows = held.join(_out(found.periods, "date", "candidate_count", "eligible_count", **{x: F.col(x) for x in _PERIOD}), "date")
+    told = {k: F.lit(x) if isinstance(x, (str, int)) else _rounded(F.lit(x).cast("double"), 5 if "sharpe" in k else 6) for k, x in found.summary.items()}
+    return rows.withColumns(told)
+
+
+ORACLES["backtest_linear"] = ORACLES["backtest_linear"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_AT = "DATE '1997-06-30'"
+
+
+@_query(
+    f"{_LINEAR_SQL}, last_day AS (SELECT max(date_idx) AS last, max(date) AS day FROM panel WHERE date <= {_AT}), today AS (SELECT placed.*, cast(code AS INT) BETWEEN 1 AND 40 AS held FROM placed, last_day WHERE date = day), {_TOP_OF_HELD.format(source='today')},"
+    " fitted AS (SELECT count(*) AS training_rows FROM eligible, last_day WHERE eligible AND target_rank IS NOT NULL AND date_idx BETWEEN last - 125 AND last - 6)"
+    " SELECT date, code, industry, candidate_position, global_rank, round(selection_score, 6) AS selection_score, selection_reason, training_rows, (SELECT date FROM calendar, last_day WHERE date_idx = last - 125) AS training_start, (SELECT date FROM calendar, last_day WHERE date_idx = last - 6) AS training_end, 120 AS training_days, (SELECT count(*) FROM today) AS eligible_stocks, 3 AS industry_cap FROM basket, fitted"
+)
+def selection_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One date's selection with an earlier basket, and its diagnostics."""
+    selector = CandidateSelector(config(), md.linear_score(_LINEAR))
+    found = selector.select_prepared(selector.prepare(panel(spark, sf_dir)), "1997-06-30", [str(i) for i in range(1, 41)])
+    d = found.diagnostics
+    rows = found.candidates.select(*_KEY, "industry", "candidate_position", "global_rank", _rounded("selection_score", 6).alias("selection_score"), "selection_reason")
+    told = {"training_rows": d.training_rows, "training_start": F.lit(d.training_start).cast("date"), "training_end": F.lit(d.training_end).cast("date"), "training_days": d.training_days}
+    told |= {"eligible_stocks": d.eligible_stocks, "industry_cap": d.industry_cap}
+    return rows.withColumns({k: F.lit(x) if isinstance(x, int) else x for k, x in told.items()})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
