@@ -24,6 +24,12 @@ from pyspark.sql import functions as F
 from ._common import table, texts
 
 SHARD_CHARS = 4_000_000
+#: Diagonals whose bands are counted at once, however long a document is.
+_PIECE = 1 << 17
+#: Meetings of a text's q-grams with the probes' that are counted at once.
+_MEETINGS = 250_000
+#: Rows of a batch that the stage judges and hands on at once.
+_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -151,7 +157,7 @@ class Matcher:
         return [(d, item, *x) for (d, item), x in sorted(best.items())]
 
     def _candidates(self, docs: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-        p, q = self.p, self.p.settings.q
+        p = self.p
         if not len(self.first):
             return
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
@@ -160,14 +166,27 @@ class Matcher:
         data = np.zeros(int((begins[-1] + sizes[-1] + gap) if len(docs) else 0), np.uint8)
         for b, doc in zip(begins.tolist(), docs, strict=True):
             data[b : b + len(doc)] = np.frombuffer(doc, np.uint8)
-        grams = _grams(data, q)
+        width = 1 << int(np.ceil(np.log2(2 * (p.settings.edits + 1))))  # bands overlap by half: any edits + 1 diagonals lie in one
+        half = width // 2
+        wide = max(1, _PIECE // half)
+        found = [self._bands(data, b, b + wide, half, gap) for b in range(0, (len(data) + gap) // half + 1, wide)]
+        owner, band = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((band, owner))
+        owner, band = owner[order], band[order]
+        yield from self._verify(data, begins, sizes, owner, band * half - gap, width)  # the band's first diagonal, of `width`
+
+    def _bands(self, data: np.ndarray, low: int, high: int, half: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, band) where enough q-grams meet, of the bands from low to high:
+        a band is `half` diagonals and the next `half`, and all its q-grams lie
+        at most a probe's length behind them."""
+        p, q = self.p, self.p.settings.q
+        begin = max(0, low * half - gap)
+        grams = _grams(data[begin : (high + 1) * half - gap + p.settings.probe + q - 1], q)
         at = np.flatnonzero(self.sieve[(grams >> np.uint64(42)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.first, grams[at]), len(self.first) - 1)
         same = self.first[slot] == grams[at]
-        at, slot = at[same], slot[same]
-        width = 1 << int(np.ceil(np.log2(2 * (p.settings.edits + 1))))  # bands overlap by half: any edits + 1 diagonals lie in one
-        half = width // 2
-        step = max(1, 1_500_000 // max(1, int(self.counts.max())))
+        at, slot = at[same] + begin, slot[same]
+        step = max(1, _MEETINGS // max(1, int(self.counts.max())))
         keys: list[np.ndarray] = []
         tally: list[np.ndarray] = []
         for i in range(0, len(at), step):
@@ -181,7 +200,7 @@ class Matcher:
             keys.append(k)
             tally.append(c)
         if not keys:
-            return
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         halves, n = keys[0], tally[0]
         if len(keys) > 1:
             halves, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -189,15 +208,13 @@ class Matcher:
         # a band is two halves, and one of them has half of the q-grams at least
         some = halves[2 * n >= np.maximum(self.least[halves >> 40], 1)]
         key = np.unique(np.concatenate([some, some - 1]))
+        key = key[(key & ((1 << 40) - 1) >= low) & (key & ((1 << 40) - 1) < high)]
         count = np.zeros(len(key), np.int64)
         for part in (key, key + 1):
             at = np.minimum(np.searchsorted(halves, part), len(halves) - 1)
             count += np.where(halves[at] == part, n[at], 0)
-        owner = key >> 40
-        enough = count >= np.maximum(self.least[owner], 1)
-        key, owner = key[enough], owner[enough]
-        low = (key & ((1 << 40) - 1)) * half - gap  # the band's first diagonal, of `width`
-        yield from self._verify(data, begins, sizes, owner, low, width)
+        key = key[count >= np.maximum(self.least[key >> 40], 1)]
+        return key >> 40, key & ((1 << 40) - 1)
 
     def _verify(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, owner: np.ndarray, low: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int, int]]:
         """Aligns each probe with the document along its band, all at once: the
@@ -301,7 +318,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
         def of(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             matcher = None
-            for batch in batches:
+            for batch in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
                 matcher = matcher or Matcher(Probes.of(*sent.value))
                 numbers = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(columns.index("text")).cast(pa.string())], ["i", "text"])
                 hit = {ids[h[0]] for ids, group in texts(iter([numbers]), most=1 << 22) for h in matcher.match(group)}

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -121,3 +122,23 @@ def test_the_bound_stays_positive():
     for s in (d.Settings(), d.CORPUS, SMALL):
         assert all(s.least(n) >= 1 for n in range(s.q, s.probe + 1))
     assert d.CORPUS.budget(d.CORPUS.probe) == d.CORPUS.edits
+
+
+def test_memory_follows_neither_the_group_nor_a_long_text():
+    """Of the same matches: hashes of all q-grams at once took some 50 bytes a byte of text."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(800)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)).encode()
+    items = [(i, text(40)) for i in range(20)]
+    matcher = d.Matcher(d.Probes.of(items, d.CORPUS))
+    many = [text(300) for _ in range(1200)]
+    many[700] += b" " + items[3][1]
+    long = b" ".join(many[:700]) + b" " + items[5][1] + b" " + b" ".join(many[701:])
+    for docs, want in ((many, [(700, 3)]), ([long], [(0, 5)])):
+        size = sum(map(len, docs))
+        tracemalloc.start()
+        found = matcher.match(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [h[:2] for h in found] == want and size > 2_000_000
+        assert peak < 10 * size + 30_000_000
