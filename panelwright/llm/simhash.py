@@ -14,11 +14,13 @@ that is still long (a cluster of fingerprints close to each other) is intersecte
 with nibbles of the remaining bytes, which leaves at most 256 fingerprints in a
 list for d = 2, and again loses no pair.
 
-The pipeline's stage asks for more than two bits can tell: five-word shingles
-with a Jaccard similarity of 0.8 differ in 15 % of a fingerprint's bits, some 10
-of 64, which no shared byte is guaranteed for. So its index has the low bytes of
-96 minima of the shingles, in place of one fingerprint; lists are intersected,
-shared positional bytes tallied, and the pairs that remain compared exactly.
+The pipeline's stage asks for more than two bits of 64 can tell: five-word
+shingles with a Jaccard similarity of 0.8 differ in 15 % of a fingerprint's bits,
+for which no shared byte is guaranteed. So its SimHash has 3,072 bits, of which
+such texts share a quarter of the bytes. Lists are keyed by two positional bytes
+each; pairs that meet go on if 128 of their bits are near, their shared
+positional bytes are tallied over the whole fingerprint, then its bits compared,
+and the pairs that remain are compared exactly.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stage, table, texts
+from ._common import partitions, stage, table, texts
 from .components import connected_components
 
 #: Fingerprints beyond which a list is intersected with nibbles.
@@ -162,17 +164,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @dataclass(frozen=True)
 class Copies:
     """Of the pipeline's stage: texts whose sets of `words`-word shingles have a
-    Jaccard similarity of at least `similarity` are near-duplicates. Candidates
-    share all `rows` minima of one of `bands` bands (at a similarity of 0.8 all
-    but about two pairs in a million do), and the low bytes of `shared` of the
-    bands * rows minima (all but about one in ten million). `pivots` members of
-    a list of shared shingles are compared with the others before all pairs are."""
+    Jaccard similarity of at least `similarity` are near-duplicates.
+
+    A fingerprint has `longs` longs, twice as many for texts of up to `few`
+    shingles, whose sums are often level. Each two bytes of it are a list's key.
+    At a similarity of 0.8 a bit differs with a chance of 0.15 (five shingles and
+    four of them: 0.19), and all but about one pair in a million meet in a list.
+    Of pairs that meet, those go on that differ in at most `near` of the first
+    128 bits (loses less than one in a million; texts of few shingles meet in
+    lists of their own too, with `near_few`), share `shared` positional bytes and
+    differ in at most `bits` bits of `longs` longs (less than one in a million
+    each). Of the first `lead` longs' lists one member is compared with the others
+    beforehand. A list is long that has more than `long_list` members besides four
+    times those that chance deals; `pivots` members of a list of shared shingles
+    are compared with the others before all pairs are."""
 
     words: int = 5
     similarity: float = 0.8
-    bands: int = 24
-    rows: int = 4
-    shared: int = 56
+    longs: int = 48
+    lead: int = 6
+    few: int = 5
+    near: int = 42
+    near_few: int = 50
+    shared: int = 36
+    bits: int = 700
+    long_list: int = 16
     pivots: int = 16
 
 
@@ -194,14 +210,41 @@ def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((of(line[a:z], 42) for a, z in pairs), np.uint64, n - words + 1))
 
 
-def _minima(grams: np.ndarray, n: int) -> np.ndarray:
-    """The least of n hashes of the grams each."""
-    odd = np.random.default_rng(42).integers(0, 1 << 63, (2, n), np.uint64) | np.uint64(1)
-    out = np.full(n, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(grams), 2048):
-        x = (grams[i : i + 2048, None] ^ odd[1]) * odd[0]
-        out = np.minimum(out, ((x ^ (x >> np.uint64(32))) * odd[1]).min(axis=0))
-    return out
+def _ones(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows (n x longs) have each bit, lowest first: the rows are
+    added two and two, as numbers whose digits lie in one plane each."""
+    planes = [rows]
+    while len(planes[0]) > 1:
+        if len(planes[0]) % 2:
+            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
+        half = len(planes[0]) // 2
+        carry, added = None, []
+        for p in planes:
+            l, r = p[:half], p[half:]
+            one, both = l ^ r, l & r
+            if carry is not None:
+                one, both = one ^ carry, both | (one & carry)
+            added.append(one)
+            carry = both
+        planes = [*added, carry]
+    return sum(np.unpackbits(p[0].view(np.uint8), bitorder="little").astype(np.int64) << k for k, p in enumerate(planes))
+
+
+@lru_cache(4)
+def _odd(longs: int) -> np.ndarray:
+    return np.random.default_rng(42).integers(0, 1 << 63, (longs, 2), np.uint64).T.copy() | np.uint64(1)
+
+
+def wide_fingerprint(grams: np.ndarray, longs: int) -> np.ndarray:
+    """SimHash of 64 * longs bits: a bit is 1 if over half of the shingles' hashes
+    have it. Fewer longs are the beginning of more."""
+    odd = _odd(longs)
+    ones = np.zeros(64 * longs, np.int64)
+    for i in range(0, len(grams), 4096):
+        x = (grams[i : i + 4096, None] ^ odd[1]) * odd[0]
+        x = (x ^ (x >> np.uint64(32))) * odd[1]
+        ones += _ones(x ^ (x >> np.uint64(29)))
+    return np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -210,37 +253,153 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(docs: DataFrame, copies: Copies) -> DataFrame:
-    """(id, node, bands, places, text): node is a hash of the set of shingles,
-    bands the keys of the lists, places the low bytes of all minima as longs."""
-    n = copies.bands * copies.rows
+    """(id, node, places, text): node is a hash of the set of shingles, places
+    the fingerprint as longs (none for a text of so few shingles that no other
+    set is similar enough)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in texts(batches):
-            nodes, keys, places = [], [], []
+            nodes, places = [], []
             for text in found:
                 grams = shingle_set(text, copies.words)
                 nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), 42) if len(grams) else 0)
-                least = _minima(grams, n)
-                by_band = least.reshape(copies.bands, -1)
-                keys.append([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(by_band)] if len(grams) else [])
-                places.append(np.resize(least.astype(np.uint8), -(-n // 8) * 8).view(np.int64))
-            flat = np.array([k for x in keys for k in x], np.uint64).view(np.int64)
-            offsets = np.cumsum([0, *map(len, keys)])
-            longs = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(places[0]), pa.int32()), pa.array(np.concatenate(places)))
+                n = len(grams)
+                longs = 0 if n < copies.similarity * (n + 1) else copies.longs * (2 if n <= copies.few else 1)
+                places.append(wide_fingerprint(grams, longs))
+            offsets = np.cumsum([0, *map(len, places)])
+            longs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(places)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), longs, pa.array(found, pa.binary())],
-                ["id", "node", "bands", "places", "text"],
+                [pa.array(ids, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), longs, pa.array(found, pa.binary())],
+                ["id", "node", "places", "text"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "id long, node long, bands array<long>, places array<long>, text binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "id long, node long, places array<long>, text binary")
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of longs; of signed ones numpy would count the absolute value's."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64)
+
+
+def _posted_bytes(nodes: DataFrame, longs: int, by: list[str]) -> DataFrame:
+    """(key, node, root, x, y) of nodes (node, root, places), dealt by the key and
+    sorted: a key for each two positional bytes of the first `longs` longs; x and
+    y are the first 128 bits."""
+    words = nodes.select("node", "root", F.get("places", F.lit(0)).alias("x"), F.get("places", F.lit(1)).alias("y"), F.posexplode(F.slice("places", 1, longs)).alias("i", "w"))
+    keys = F.array(*(F.shiftleft(F.col("i") * 4 + j, 16) + F.shiftrightunsigned("w", 16 * j).bitwiseAND(F.lit(65535)).cast("int") for j in range(4)))
+    posted = words.select(F.explode(keys).alias("key"), "node", "root", "x", "y")
+    return posted.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", *by)
+
+
+def _numpy(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def _with_first(nodes: DataFrame, copies: Copies) -> DataFrame:
+    """(a, b): of each list of the first `lead` longs its first member with every
+    other one that is near in the first 128 bits: a large group of copies makes a
+    pair for each member and list."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the first member of the last list, which may go on
+        for batch in batches:
+            columns = _numpy(batch)
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            key, node, _, x, y = columns
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            to = np.repeat(starts, np.diff(np.append(starts, len(key))))
+            met = np.flatnonzero((_apart(x, x[to]) + _apart(y, y[to]) <= copies.near) & (node != node[to]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[to[met]], pa.int64()), pa.array(node[met], pa.int64())], ["a", "b"])
+            held = [c[starts[-1] : starts[-1] + 1] for c in columns]
+
+    return _posted_bytes(nodes, copies.lead, ["node"]).mapInArrow(of, "a long, b long").distinct()
+
+
+def _met_apart(nodes: DataFrame, copies: Copies, n: int) -> DataFrame:
+    """(a, b, long) of nodes (node, root, places), n at most: of each list the
+    pairs of nodes of different roots that are near in the first 128 bits. Of a
+    long list, and of the near members of one that would make as many pairs as
+    they are, the roots instead if there are several (long is true, a is b)."""
+    most = copies.long_list + n // 16384
+    few = 4 * copies.longs << 16  # the first key of the lists of texts of few shingles
+
+    def rows(a: np.ndarray, b: np.ndarray, long: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), long))], ["a", "b", "long"])
+
+    def open_roots(key: np.ndarray, root: np.ndarray, told: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.flatnonzero((key[1:] == key[:-1]) & (root[1:] != root[:-1]))
+        found = np.setdiff1d(np.concatenate([root[at], root[at + 1]]), told[0])
+        told[0] = np.concatenate([told[0], found]) if len(told[0]) < 1 << 16 else found
+        return rows(found, found, True)
+
+    def compared(key: np.ndarray, node: np.ndarray, root: np.ndarray, x: np.ndarray, y: np.ndarray, ends: np.ndarray, at: np.ndarray, told: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        step, left, right = 1, [at[:0]], [at[:0]]
+        while len(at := at[at + step < ends[at]]):
+            apart = _apart(x[at], x[at + step]) + _apart(y[at], y[at + step])
+            met = at[(apart <= np.where(key[at] < few, copies.near, copies.near_few)) & (root[at] != root[at + step])]
+            left.append(met)
+            right.append(met + step)
+            step += 1
+        l, r = np.concatenate(left), np.concatenate(right)
+        if not len(l):
+            return
+        near = np.unique(np.concatenate([l, r]))  # members of a list with another one near
+        lists, back, members = np.unique(key[near], return_inverse=True, return_counts=True)
+        of = np.searchsorted(lists, key[l])
+        dense = np.bincount(of, minlength=len(lists)) >= members
+        one = ~dense[of]
+        yield rows(np.minimum(node[l[one]], node[r[one]]), np.maximum(node[l[one]], node[r[one]]), False)
+        many = near[dense[back]]
+        yield open_roots(key[many], root[many], told)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        told = [np.empty(0, np.int64)]  # roots that this task has given lately
+        goes_on = False  # whether the first row is the last one of a long list's beginning
+        for batch in _and_none(batches):
+            if batch is not None:
+                columns = _numpy(batch)
+                held = columns if held is None else [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            key = held[0]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            long = sizes > most
+            long[0] |= goes_on
+            of_long = np.repeat(long, sizes)
+            yield open_roots(key[of_long], held[2][of_long], told)
+            whole = len(key) if batch is None else int(starts[-1])  # the last list may go on
+            ends = np.repeat(starts + sizes, sizes)
+            yield from compared(*held, ends, np.flatnonzero(~of_long[:whole]), told)
+            goes_on = bool(long[-1]) and batch is not None
+            held = [h[len(key) - 1 if goes_on else whole :] for h in held]
+
+    return _posted_bytes(nodes, 2 * copies.longs, ["root", "node"]).mapInArrow(of, "a long, b long, long boolean")
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _tallied(pairs: DataFrame, nodes: DataFrame, copies: Copies) -> DataFrame:
-    """The pairs (a, b) of nodes that share enough positional bytes."""
-    longs = -(-copies.bands * copies.rows // 8)
-    x, y = nodes.select(F.col("node").alias("a"), F.col("places").alias("x")), nodes.select(F.col("node").alias("b"), F.col("places").alias("y"))
-    shared = sum((_shared_bytes(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(longs)), F.lit(0))
-    return pairs.join(x, "a").join(y, "b").where(shared >= copies.shared).select("a", "b")
+    """The pairs (a, b) of nodes that share enough positional bytes and are near."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (c.flatten().to_numpy().reshape(-1, copies.longs) for c in batch.columns[2:])
+            shared = (x.view(np.uint8) == y.view(np.uint8)).sum(axis=1)
+            kept = np.flatnonzero(shared >= copies.shared)
+            kept = kept[_apart(x[kept], y[kept]).sum(axis=1) <= copies.bits]
+            yield batch.select(["a", "b"]).take(pa.array(kept))
+
+    places = F.slice("places", 1, copies.longs)
+    x, y = nodes.select(F.col("node").alias("a"), places.alias("x")), nodes.select(F.col("node").alias("b"), places.alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, copies: Copies) -> DataFrame:
@@ -314,33 +473,43 @@ def near_copies(docs: DataFrame, copies: Copies = Copies()) -> DataFrame:
     """(id, component) for every row of docs: component is the least id that can
     be reached over texts of enough similarity. Texts without words are alike.
 
-    Members of a list are compared with one of them first, so that a large
-    group of copies costs a comparison each. Nodes of the lists that hold more
-    than one component after that are compared through the prefix filter, which
-    makes pairs only of those that share rare shingles: texts that share a
-    frequent passage, but not enough, aren't paired with each other. Of these
-    too a few in each list come first, and then all pairs of components that are
-    still apart.
+    Some lists' members are compared with one of them first, so that a large
+    group of copies costs a comparison each. Of all lists then all pairs are tried
+    whose nodes are still apart. A long list, or one of many near members, makes
+    no pairs: if they are of more than one component, all nodes of these are
+    compared through the prefix filter, which is exact and makes pairs only of
+    those that share rare shingles: texts that share a frequent passage, but not
+    enough, aren't paired with each other. Of these too a few in each list come
+    first, and then all pairs of components that are still apart.
 
     Null text counts as empty. Null ids take part, but can't name a component (a
     component of null ids only is null). Rows that share an id but not a text
     link their groups in no way; repeated rows are copies. No rows: no rows.
     """
     sketched = stage(_sketches(docs, copies), "sketches")
-    nodes = stage(sketched.groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("places").alias("places")), "nodes")
-    posted = nodes.select("node", F.explode("bands").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    buckets = stage(posted.join(shared, "key").select("key", "node", "pivot"), "buckets")
-    first = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    # one row of each text, found by its node and id: a large group of copies isn't gathered
-    chosen = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("of"), "least")
-    rows = sketched.join(chosen, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")))
-    held = stage(rows.groupBy("node").agg(F.first("text").alias("text")), "candidates")
-    links = stage(_verified(_tallied(first, nodes, copies), held, copies), "near")
+    nodes = stage(sketched.groupBy("node").agg(F.min("id").alias("least"), F.first("places").alias("places")), "nodes")
+    longs = nodes.where(F.size("places") > 0)
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        # one row of each text, found by its node and id: a large group of copies isn't gathered
+        chosen = nodes.join(asked.distinct(), "node", "left_semi").select(F.col("node").alias("of"), "least")
+        rows = sketched.join(chosen, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")))
+        return stage(rows.groupBy("node").agg(F.first("text").alias("text")), "candidates")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+    first = stage(_tallied(_with_first(longs.withColumn("root", F.col("node")), copies), nodes, copies), "tallied")
+    links = stage(_verified(first, texts_of(ends(first)), copies), "near")
+    roots = stage(connected_components(links), "roots")
+    rooted = stage(longs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    met = stage(_met_apart(rooted, copies, nodes.count()), "met")
+    second = stage(_tallied(met.where("NOT long").select("a", "b").distinct(), nodes, copies), "tallied")
+    open_roots = met.where("long").select(F.col("a").alias("root")).distinct()
+    wanted = stage(rooted.join(open_roots, "root", "left_semi").select("node", "root"), "wanted")
+    held = texts_of(ends(second).union(wanted.select("node")))
+    links = stage(links.union(_verified(second, held, copies)), "near")
     roots = connected_components(links)
-    member = stage(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
-    open_keys = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    wanted = member.join(open_keys, "key", "left_semi").select("node", "root").distinct()
     prefixes = stage(_prefixes(wanted, held, copies), "prefixes")
     for paired in (_with_some, _with_all):
         rooted = prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

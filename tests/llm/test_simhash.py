@@ -195,3 +195,110 @@ def test_repeated_ids(spark):
     rows = [(1, text), (1, text), (2, text), (2, "something else entirely"), (3, "something else entirely")]
     left = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(map(tuple, left.collect())) == [(1, text), (1, text)]
+
+
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def test_the_stage_indexes_simhash_fingerprints(spark):
+    """A bit of the stage's fingerprint is 1 if over half of the shingles' hashes have it."""
+    rng = random.Random(31)
+    rows = [(n, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for n in (0, 3, 7, 8, 9, 10, 60, 5000)]
+    copies = simhash.Copies()
+    found = {r.id: list(r.places) for r in simhash._sketches(spark.createDataFrame(rows, "doc_id long, text string"), copies).collect()}
+    full = (1 << 64) - 1
+    for n, text in rows:
+        grams = simhash.shingle_set(text.encode()).tolist()
+        longs = 0 if len(grams) < 4 else 96 if len(grams) <= 5 else 48
+        assert len(found[n]) == longs
+        times, plus = simhash._odd(longs).tolist()
+        for k in range(0, longs, 1 if n < 100 else 40):
+            hashes = []
+            for g in grams:
+                x = (g ^ plus[k]) * times[k] & full
+                x = (x ^ (x >> 32)) * plus[k] & full
+                hashes.append(x ^ (x >> 29))
+            assert found[n][k] == signed(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+
+
+def test_lists_of_positional_bytes(spark):
+    """Against brute force: pairs of different roots in the short lists, roots of the long ones, whichever batches they come in."""
+    rng = random.Random(33)
+    copies = simhash.Copies(longs=2, near=20, near_few=40, long_list=5, lead=2)
+    prints = [[rng.getrandbits(64) for _ in range(4 if i % 3 else 2)] for i in range(30)]
+    for base in prints[:12]:
+        for _ in range(rng.choice([1, 2, 9])):
+            prints.append([x ^ sum(1 << b for b in rng.sample(range(64), rng.choice([2, 6, 14]))) for x in base])
+    prints.append([])
+    nodes = [(rng.getrandbits(62) * rng.choice([1, -1]), rng.randrange(9), [signed(x) for x in p]) for p in prints]
+    lists = {}
+    for node, root, longs in nodes:
+        for i, w in enumerate(longs):
+            for j in range(4):
+                lists.setdefault((i * 4 + j) << 16 | w >> 16 * j & 0xFFFF, []).append((node, root, longs))
+    near = lambda x, y, most: sum(((x[k] ^ y[k]) & (1 << 64) - 1).bit_count() for k in (0, 1)) <= most
+    pairs, open_roots, first = set(), [], set()
+    for key, held in lists.items():
+        one = min(held)
+        first |= {(one[0], n) for n, _, p in held if key < 8 << 16 and n != one[0] and near(one[2], p, 20)}
+        if len(held) > 5:
+            open_roots.append({r for _, r, _ in held})
+            continue
+        met = {(min(a, b), max(a, b)) for (a, q, x), (b, r, y) in combinations(held, 2) if q != r and near(x, y, 20 if key < 8 << 16 else 40)}
+        members = {n for pair in met for n in pair}
+        if met and len(met) >= len(members):
+            open_roots.append({r for n, r, _ in held if n in members})
+        else:
+            pairs |= met
+    open_roots = {r for held in open_roots for r in held if len(held) > 1}
+    df = spark.createDataFrame(nodes, "node long, root long, places array<long>")
+    for rows in (1, 7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        try:
+            found = simhash._met_apart(df, copies, len(nodes)).collect()
+            starts = simhash._with_first(df, copies).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert pairs and {(r.a, r.b) for r in found if not r.long} == pairs
+        assert open_roots and {x for r in found if r.long for x in (r.a, r.b)} == open_roots
+        assert len(found) <= sum(map(len, lists.values()))
+        assert first and set(map(tuple, starts)) == first
+
+
+def test_the_stage_tallies_shared_bytes(spark):
+    """Pairs that meet in a list go if they share too few bytes, or differ in too many bits."""
+    rng = random.Random(35)
+    base = [rng.getrandbits(64) for _ in range(48)]
+    all_bytes = [x ^ 0x0101010101010101 for x in base]  # 384 bits, no byte
+    half = [~x & (1 << 64) - 1 if i % 2 else x for i, x in enumerate(base)]  # 192 bytes, 1,536 bits
+    near = [x ^ 0x0000000001010101 for x in base]
+    df = spark.createDataFrame([(i, [signed(x) for x in p]) for i, p in enumerate((base, all_bytes, half, near))], "node long, places array<long>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a long, b long")
+    assert [tuple(r) for r in simhash._tallied(pairs, df, simhash.Copies()).collect()] == [(0, 3)]
+
+
+def test_long_lists_lose_no_similar_text(spark):
+    """Groups of copies and near misses, whether their lists count as long or not; four and five shingles too."""
+    rng = random.Random(37)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for n in (8, 9, 40, 300):
+        for _ in range(3):
+            base = [rng.choice(words) for _ in range(n)]
+            for k in range(12):
+                copy = base[: n - (k % 2)]
+                if k > 5 and n > 9:
+                    copy[rng.randrange(len(copy))] = "other"
+                rows.append((len(rows), " ".join(copy)))
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for long_list in (2, 16):
+        found = simhash.near_copies(df, simhash.Copies(long_list=long_list)).collect()
+        assert sorted(map(tuple, found)) == list(enumerate(root))
