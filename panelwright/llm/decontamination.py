@@ -4,7 +4,9 @@ Benchmark items are cut into overlapping probes. A stretch of a document within
 e edits of a probe of m characters shares at least m - q + 1 - q*e of its
 q-grams, and these lie on diagonals at most e apart. So shared q-grams are
 counted in bands of diagonals that overlap, only bands with that many counts are
-retained, and an alignment within the band verifies each.
+retained, and an alignment within the band verifies each. Neighbouring probes
+overlap; their q-grams are counted together first, and probe by probe only on
+diagonals where that count is high enough.
 
 The probes' q-grams are held in shards of bounded size (SHARD_CHARS characters
 of benchmark text): a larger benchmark takes more shards and as many passes over
@@ -28,6 +30,12 @@ SHARD_CHARS = 4_000_000
 _PIECE = 1 << 17
 #: Meetings of a text's q-grams with the probes' that are counted at once.
 _MEETINGS = 250_000
+#: Probes at most whose q-grams are first counted together.
+_STRETCH = 32
+#: Buckets at most (as a power of 2) of that first count.
+_BUCKETS = 18
+#: Probes aligned at once.
+_ALIGNED = 4096
 #: Rows of a batch that the stage judges and hands on at once.
 _ROWS = 1024
 
@@ -86,44 +94,65 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _pieces(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges whose sizes sum to about _MEETINGS."""
+    if not len(sizes):
+        return []
+    total = np.cumsum(sizes)
+    cuts = np.unique([0, *np.searchsorted(total, np.arange(_MEETINGS, int(total[-1]), _MEETINGS)).tolist(), len(sizes)]).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 @dataclass(frozen=True)
 class Probes:
-    """A shard: probe k is data[start[k]:start[k] + length[k]] of item[k]."""
+    """A shard: probe k is data[start[k]:start[k] + length[k]] of item[k].
+    Probes that follow each other in an item form stretches: row i is a q-gram
+    at data[place[i]] of stretch[i], held by the probes from owner[i], many[i]
+    of them; base[j] is where stretch j begins."""
 
     settings: Settings
     data: np.ndarray
     start: np.ndarray
     length: np.ndarray
     item: np.ndarray
+    base: np.ndarray
     grams: np.ndarray  # sorted
+    place: np.ndarray
+    stretch: np.ndarray
     owner: np.ndarray
-    offset: np.ndarray
+    many: np.ndarray
 
     @staticmethod
     def of(items: list[tuple[int, bytes]], settings: Settings) -> Probes:
-        start, length, item, at, parts = [], [], [], 0, []
+        start, length, item, at, parts, runs = [], [], [], 0, [], []
         for key, text in items:
             text = normalised(text)
             n = len(text)
             begins = list(range(0, max(1, n - settings.probe + 1), settings.stride))
             if n > settings.probe and begins[-1] + settings.probe < n:
                 begins.append(n - settings.probe)
-            for b in begins if n else []:
+            begins = begins if n else []
+            runs += [(len(start) + i, len(start) + min(i + _STRETCH, len(begins))) for i in range(0, len(begins), _STRETCH)]
+            for b in begins:
                 start.append(at + b)
                 length.append(min(settings.probe, n))
                 item.append(key)
             parts.append(text)
             at += n
         data = np.frombuffer(b"".join(parts), np.uint8)
-        grams, owner, offset = [], [], []
-        for k, (a, n) in enumerate(zip(start, length, strict=True)):
-            g = _grams(data[a : a + n], settings.q)
-            grams.append(g)
-            owner.append(np.full(len(g), k, np.int64))
-            offset.append(np.arange(len(g), dtype=np.int64))
-        joined = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((grams, np.uint64), (owner, np.int64), (offset, np.int64))]
+        first = np.array(start, np.int64)
+        rows: list[tuple[np.ndarray, ...]] = []
+        for j, (a, z) in enumerate(runs):  # the probes of stretch j, all as long
+            g = _grams(data[start[a] : start[z - 1] + length[a]], settings.q)
+            place = start[a] + np.arange(len(g), dtype=np.int64)
+            owner = a + np.searchsorted(first[a:z], place - (length[a] - settings.q))
+            many = a + np.searchsorted(first[a:z], place, side="right") - owner
+            rows.append((g, place, np.full(len(g), j, np.int64), owner, many))
+        joined = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.empty(0, t) for t in (np.uint64, *[np.int64] * 4)]
         order = np.argsort(joined[0], kind="stable")
-        return Probes(settings, data, np.array(start, np.int64), np.array(length, np.int64), np.array(item, np.int64), *(x[order] for x in joined))
+        order = order[joined[4][order] > 0]
+        base = np.array([start[a] for a, _ in runs], np.int64)
+        return Probes(settings, data, first, np.array(length, np.int64), np.array(item, np.int64), base, *(x[order] for x in joined))
 
 
 class Matcher:
@@ -134,9 +163,12 @@ class Matcher:
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.first >> np.uint64(42)).astype(np.int64)] = True
         s = probes.settings
-        self.least = np.array([s.least(int(n)) for n in probes.length], np.int64)
+        self.least = np.array([max(1, s.least(int(n))) for n in probes.length], np.int64)
         self.budget = np.array([s.budget(int(n)) for n in probes.length], np.int64)
         self.short = [k for k in range(len(probes.length)) if probes.length[k] < s.q]
+        #: Of all probes with a q-gram: what any band must have.
+        self.fewest = int(self.least[probes.length >= s.q].min(initial=1 << 30))
+        self.name = np.unique(probes.item, return_inverse=True)[1]
 
     def match(self, found: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(document's place in found, item, begin, end, edits) for the best
@@ -173,7 +205,7 @@ class Matcher:
         owner, band = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((band, owner))
         owner, band = owner[order], band[order]
-        yield from self._verify(data, begins, sizes, owner, band * half - gap, width)  # the band's first diagonal, of `width`
+        yield from self._verify(data, begins, owner, band * half - gap, width)  # the band's first diagonal, of `width`
 
     def _bands(self, data: np.ndarray, low: int, high: int, half: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
         """(probe, band) where enough q-grams meet, of the bands from low to high:
@@ -186,19 +218,16 @@ class Matcher:
         slot = np.minimum(np.searchsorted(self.first, grams[at]), len(self.first) - 1)
         same = self.first[slot] == grams[at]
         at, slot = at[same] + begin, slot[same]
-        step = max(1, _MEETINGS // max(1, int(self.counts.max())))
         keys: list[np.ndarray] = []
         tally: list[np.ndarray] = []
-        for i in range(0, len(at), step):
-            a, s = at[i : i + step], slot[i : i + step]
-            n = self.counts[s]
-            rows = np.repeat(self.where[s] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            place = np.repeat(a, n) - p.offset[rows]  # where the probe's first byte would lie
-            owner = p.owner[rows]
-            band = (place + gap) // half
-            k, c = np.unique(owner << 40 | band, return_counts=True)
-            keys.append(k)
-            tally.append(c)
+        for a, row in self._dense(at, slot, half):
+            for x, y in _pieces(p.many[row]):
+                n = p.many[row[x:y]]
+                owner = np.repeat(p.owner[row[x:y]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                first = np.repeat(a[x:y] - p.place[row[x:y]], n) + p.start[owner]  # where the probe's first byte would lie
+                k, c = np.unique(owner << 40 | (first + gap) // half, return_counts=True)
+                keys.append(k)
+                tally.append(c)
         if not keys:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         halves, n = keys[0], tally[0]
@@ -206,57 +235,102 @@ class Matcher:
             halves, back = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(back, np.concatenate(tally)).astype(np.int64)
         # a band is two halves, and one of them has half of the q-grams at least
-        some = halves[2 * n >= np.maximum(self.least[halves >> 40], 1)]
+        some = halves[2 * n >= self.least[halves >> 40]]
         key = np.unique(np.concatenate([some, some - 1]))
         key = key[(key & ((1 << 40) - 1) >= low) & (key & ((1 << 40) - 1) < high)]
         count = np.zeros(len(key), np.int64)
         for part in (key, key + 1):
             at = np.minimum(np.searchsorted(halves, part), len(halves) - 1)
             count += np.where(halves[at] == part, n[at], 0)
-        key = key[count >= np.maximum(self.least[key >> 40], 1)]
+        key = key[count >= self.least[key >> 40]]
         return key >> 40, key & ((1 << 40) - 1)
 
-    def _verify(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, owner: np.ndarray, low: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int, int]]:
-        """Aligns each probe with the document along its band, all at once: the
-        probe may begin anywhere in the band, and strays at most `edits` beyond."""
+    def _dense(self, at: np.ndarray, slot: np.ndarray, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, row) of the meetings that may lie in a band with enough of
+        them. A band of any of a stretch's probes lies within three halves of the
+        stretch's own diagonals. These are counted in buckets, which others may
+        share: a count is never too low, so no band is lost or counted short."""
+        p = self.p
+        buckets = 1 << min(_BUCKETS, max(12, int(2 * self.counts[slot].sum()).bit_length()))
+
+        def meet(x: int, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = self.counts[slot[x:y]]
+            row = np.repeat(self.where[slot[x:y]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            a, j = np.repeat(at[x:y], n), p.stretch[row]
+            return a, row, ((a - p.place[row] + p.base[j]) // half + j * 0x9E3779B1) & (buckets - 1)
+
+        pieces = _pieces(self.counts[slot])
+        met = [meet(*piece) for piece in pieces[:1]]
+        count = np.zeros(buckets, np.int64)
+        for i, piece in enumerate(pieces):
+            count += np.bincount((met[0] if not i else meet(*piece))[2], minlength=buckets)
+        three = count + np.roll(count, 1) + np.roll(count, -1)
+        enough = np.maximum(np.maximum(np.roll(three, 1), np.roll(three, -1)), three) >= self.fewest
+        for i, piece in enumerate(pieces):
+            a, row, bucket = met.pop() if not i else meet(*piece)
+            keep = np.flatnonzero(enough[bucket])
+            if len(keep):
+                yield a[keep], row[keep]
+
+    def _verify(self, data: np.ndarray, begins: np.ndarray, owner: np.ndarray, low: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """The stretches within the budget; of those of one item in one document
+        the ones with the fewest edits. Only these are traced to their begin."""
+        low = low - self.p.settings.edits
+        edits, end, _ = self._align(data, owner, low, width, False)
+        document = np.searchsorted(begins, end - 1, side="right") - 1
+        good = np.flatnonzero((edits <= self.budget[owner]) & (document >= 0))
+        pair = document[good] * (int(self.name.max()) + 1) + self.name[owner[good]]
+        order = np.lexsort((edits[good], pair))
+        good, pair = good[order], pair[order]
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        fewest = np.repeat(edits[good[new]], np.diff(new, append=len(pair)))
+        good = np.sort(good[edits[good] == fewest])
+        begin = end - self.p.length[owner]  # without an edit
+        changed = good[edits[good] > 0]
+        begin[changed] = self._align(data, owner[changed], low[changed], width, True)[2]
+        for x in good.tolist():
+            d = int(document[x])
+            yield d, int(owner[x]), int(begin[x] - begins[d]), int(end[x] - begins[d]), int(edits[x])
+
+    def _align(self, data: np.ndarray, owner: np.ndarray, low: np.ndarray, width: int, trace: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(edits, end, begin if traced) of each probe along its band, many at
+        once: the probe may begin anywhere in the band, and strays at most
+        `edits` beyond. Rows are diagonals, columns probes."""
         p = self.p
         pad = p.settings.edits
         wide = width + 2 * pad
-        for i in range(0, len(owner), 20_000):
-            k, b = owner[i : i + 20_000], low[i : i + 20_000] - pad
+        found = np.zeros((3, len(owner)), np.int64)
+        for i in range(0, len(owner), _ALIGNED):
+            k, b = owner[i : i + _ALIGNED], low[i : i + _ALIGNED]
             n = p.length[k]
-            cells = np.arange(wide)
+            most = int(n.max())
+            place = b + np.arange(most + wide)[:, None]
+            text = data[np.clip(place, 0, len(data) - 1)]
+            text[(place < 0) | (place >= len(data))] = 0
+            probe = p.data[np.minimum(p.start[k] + np.arange(most)[:, None], len(p.data) - 1)]
             # cost[j]: edits of the probe's first r bytes against text that ends before b + r + j
-            cost = np.zeros((len(k), wide), np.int32)
-            begin = b[:, None] + cells[None, :] + np.zeros_like(cost)
-            for r in range(int(n.max(initial=0))):
-                live = r < n
-                byte = p.data[np.minimum(p.start[k] + r, len(p.data) - 1)]
-                text_at = b[:, None] + r + cells[None, :]
-                inside = (text_at >= 0) & (text_at < len(data))
-                text = np.where(inside, data[np.clip(text_at, 0, len(data) - 1)], 0)
-                new = cost + (text != byte[:, None])
-                start = begin.copy()
-                drop = cost[:, 1:] + 1  # the probe's byte is missing in the text
-                better = drop < new[:, :-1]
-                new[:, :-1] = np.where(better, drop, new[:, :-1])
-                start[:, :-1] = np.where(better, begin[:, 1:], start[:, :-1])
+            cost = np.zeros((wide, len(k)), np.min_scalar_type(max(most + 2, wide)))
+            begin = np.arange(wide, dtype=cost.dtype)[:, None] + np.zeros_like(cost)
+            for r in range(most):
+                new = cost + (text[r : r + wide] != probe[r])
+                start = begin.copy() if trace else begin
+                drop = cost[1:] + 1  # the probe's byte is missing in the text
+                if trace:
+                    start[:-1] = np.where(drop < new[:-1], begin[1:], start[:-1])
+                np.minimum(new[:-1], drop, out=new[:-1])
                 for _ in range(pad):  # a byte of the text is missing in the probe
-                    more = new[:, :-1] + 1
-                    better = more < new[:, 1:]
-                    if not better.any():
-                        break
-                    start[:, 1:] = np.where(better, start[:, :-1], start[:, 1:])
-                    new[:, 1:] = np.where(better, more, new[:, 1:])
-                cost = np.where(live[:, None], new, cost)
-                begin = np.where(live[:, None], start, begin)
-            j = cost.argmin(axis=1)
-            edits = cost[np.arange(len(k)), j]
-            for x in np.flatnonzero(edits <= self.budget[k]).tolist():
-                a, z = int(begin[x, j[x]]), int(b[x] + n[x] + j[x])
-                d = int(np.searchsorted(begins, z - 1, side="right")) - 1
-                if d >= 0:
-                    yield d, int(k[x]), a - int(begins[d]), z - int(begins[d]), int(edits[x])
+                    more = new[:-1] + 1
+                    if trace:
+                        start[1:] = np.where(more < new[1:], start[:-1], start[1:])
+                    np.minimum(new[1:], more, out=new[1:])
+                live = r < n
+                if live.all():
+                    cost, begin = new, start
+                else:
+                    cost, begin = np.where(live, new, cost), np.where(live, start, begin)
+            j, x = cost.argmin(axis=0), np.arange(len(k))
+            found[:, i : i + len(k)] = cost[j, x], b + n + j, b + begin[j, x]
+        return found[0], found[1], found[2]
 
 
 def shards(benchmark: DataFrame, chars: int = SHARD_CHARS) -> Iterator[list[tuple[int, bytes]]]:

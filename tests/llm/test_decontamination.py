@@ -142,3 +142,55 @@ def test_memory_follows_neither_the_group_nor_a_long_text():
         tracemalloc.stop()
         assert [h[:2] for h in found] == want and size > 2_000_000
         assert peak < 10 * size + 30_000_000
+
+
+def test_counting_by_stretches_loses_nothing(monkeypatch):
+    """Items of many probes, and stretches, pieces and buckets so small that all of them are split and shared."""
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    items = [(i, text(rng.choice([3, 8, 24, 30, 150, 400]))) for i in range(12)] + [(2, text(100))]
+    docs = [(0, "")]
+    for i in range(1, 40):
+        item = rng.choice(items)[1]
+        a = rng.randrange(max(1, len(item) - 60))
+        docs.append((i, text(rng.randint(0, 200)) + edited(rng, item[a : a + 60], rng.randint(0, min(6, len(item) // 2))) + text(rng.randint(0, 200))))
+    raw, found = [(i, t.encode()) for i, t in items], [t.encode() for _, t in docs]
+    whole = d.Matcher(d.Probes.of(raw, SMALL)).match(found)
+    assert {(k, item): e for k, item, _, _, e in whole} == plain([(k, t.encode()) for k, t in docs], raw, SMALL)
+    assert len(whole) > 30
+    for stretch, meetings, aligned, buckets in ((1, 300, 7, 2), (3, 2000, 100, 6), (7, 250_000, 4096, 12)):
+        for name, value in (("_STRETCH", stretch), ("_MEETINGS", meetings), ("_ALIGNED", aligned), ("_BUCKETS", buckets)):
+            monkeypatch.setattr(d, name, value)
+        assert d.Matcher(d.Probes.of(raw, SMALL)).match(found) == whole
+
+
+def test_common_syllables_and_passages_cost_little(monkeypatch):
+    """Bytes sorted by the count and chosen by the alignment, a byte of text
+    (3.3 and 137 where all q-grams were counted probe by probe and all bands traced)."""
+    rng = random.Random(41)
+    syllables = ["".join(rng.choice("etaoinshr") for _ in range(rng.choice([2, 3]))) for _ in range(60)]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(40)) for i in range(200)]
+    docs = [text(500) for _ in range(200)]
+    for i in range(0, 200, 10):
+        docs[i] += " " + edited(rng, items[i][1], i // 10 % 3)
+    matcher = d.Matcher(d.Probes.of([(i, t.encode()) for i, t in items], d.CORPUS))
+    done = {"unique": 0, "where": 0, "minimum": 0}
+
+    def counted(name, of, which):
+        def run(*args, **kwargs):
+            done[name] += d.np.asarray(args[which]).nbytes
+            return of(*args, **kwargs)
+
+        monkeypatch.setattr(d.np, name, run)
+
+    counted("unique", d.np.unique, 0)
+    counted("where", d.np.where, 1)
+    counted("minimum", d.np.minimum, 0)
+    found = matcher.match([t.encode() for t in docs])
+    monkeypatch.undo()
+    assert {(i, i) for i in range(0, 200, 10)} <= {h[:2] for h in found}
+    size = sum(map(len, docs))
+    print("bytes a byte of text:", {k: round(v / size, 2) for k, v in done.items()})
+    assert done["unique"] < size and done["where"] + done["minimum"] < 40 * size
