@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, warc
+from . import quality_rules, search, warc
 from .classifier import op3_classifier
 from .decontamination import op9_decontamination
 from .lm import op1_lm
 from .mixing import op7_mixing
+from .personal import op12_personal
 from .quality_rules import op8_quality_rules
+from .search import op13_search
 from .secrets import op6_secrets
 from .simhash import op10_simhash
 from .substrings import op4_substrings
@@ -25,9 +27,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op12_personal": op12_personal,
+    "op13_search": op13_search,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op13_search": search.ORACLE,
 }
