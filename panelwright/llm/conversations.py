@@ -26,6 +26,7 @@ from functools import cache, reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import SPACES, stage, table
 
@@ -212,8 +213,7 @@ def chunks(placed: DataFrame) -> DataFrame:
 def _mapped(df: DataFrame, of, more: str, *dropped: str) -> DataFrame:  # noqa: ANN001
     """df without the dropped columns and with those that of adds to its rows:
     it takes an iterator of dicts and gives one."""
-    kept = df.drop(*dropped).schema
-    schema = reduce(lambda s, x: s.add(*x.split(" ", 1)), more.split(", "), type(kept)(list(kept.fields)))
+    schema = StructType(df.drop(*dropped).schema.fields + StructType.fromDDL(more).fields)
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

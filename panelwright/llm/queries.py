@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import quality_rules, search, warc
 from .classifier import op3_classifier
+from .conversations import op11_conversations
 from .decontamination import op9_decontamination
 from .lm import op1_lm
 from .mixing import op7_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_conversations": op11_conversations,
     "op12_personal": op12_personal,
     "op13_search": op13_search,
 }
