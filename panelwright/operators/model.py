@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AppConfig, ModelConfig
+from .boosting import fit
 from .features import PreparedData
 from .selection import as_of_index, with_selection_score
 
-MODEL_TYPE = "spark_gbt_regression_l2"
-#: Stands for a missing rank: ranks lie in (-0.5, 0.5], so one split isolates it.
-MISSING_RANK = -1.0
-#: Histogram bins of a feature.
-MAX_BINS = 255
+MODEL_TYPE = "histogram_gbdt_regression_l2"
 
 
 @dataclass(frozen=True)
@@ -59,44 +53,54 @@ def active_features(train: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c, varies in zip(columns, row, strict=True) if varies]
 
 
-def _features(columns: Sequence[str]) -> list[Column]:
-    return [F.coalesce(F.col(c).cast("double"), F.lit(MISSING_RANK)).alias(c) for c in columns]
-
+@dataclass(frozen=True)
+class FitInput:
+    """Rows with a key, the features that vary with their ranges, and the clipped target."""
 
-def fit_and_predict(train: DataFrame, score: DataFrame, columns: Sequence[str], config: ModelConfig) -> tuple[DataFrame, FitDiagnostics]:
-    """Boosted trees with the settings that Spark's have: leaves become a depth;
-    L1 and L2 penalties have no counterpart. Targets are clipped to the winsor
-    bounds; constant features are left out."""
-    train = train.where(F.col("target_rank").isNotNull()).select(*columns, "target_rank").persist()
+    rows: DataFrame
+    n: int
+    active: tuple[str, ...]
+    lows: tuple[float, ...]
+    highs: tuple[float, ...]
+    target: Column
+    key: Column
+
+
+def fit_input(train: DataFrame, columns: Sequence[str], config: ModelConfig) -> FitInput:
+    """Persists its rows. Targets are clipped to the winsor bounds; constant
+    features are left out."""
+    named = [c for c in ("date", "code") if c in train.columns]
+    key = F.xxhash64(*(named or columns)).alias("key of row")
+    rows = train.where(F.col("target_rank").isNotNull()).select(*columns, "target_rank", key).persist()
     try:
         # all that is to be known of the rows, in one pass
-        facts = [F.count("*"), *_spans(columns), *_bounds(config.target_winsor_quantile, "target_rank")]
-        n, *known = train.agg(*(x.alias(f"x{i}") for i, x in enumerate(facts))).first()
+        ends = [F.struct(F.min(c).cast("double"), F.max(c).cast("double")) for c in columns]
+        facts = [F.count("*"), *_spans(columns), *ends, *_bounds(config.target_winsor_quantile, "target_rank")]
+        n, *known = rows.agg(*(x.alias(f"x{i}") for i, x in enumerate(facts))).first()
         if n < 2:
             raise ValueError("fewer than two rows with a target")
-        active = [c for c, varies in zip(columns, known, strict=False) if varies]
+        k = len(columns)
+        active = [(c, *span) for c, varies, span in zip(columns, known[:k], known[k : 2 * k], strict=True) if varies]
         if not active:
             raise ValueError("all features are constant or missing")
-        target = F.col("target_rank").cast("double")
-        for low, high in known[len(columns) :]:
-            target = F.least(F.greatest(target, F.lit(low)), F.lit(high))
-        assembler = VectorAssembler(inputCols=active, outputCol="features of model")
-        depth = math.ceil(math.log2(config.num_leaves))
-        trees = GBTRegressor(
-            featuresCol="features of model", labelCol="label of model", predictionCol="model_score", maxIter=config.n_estimators,
-            stepSize=min(1.0, config.learning_rate), maxDepth=max(1, min(depth, config.max_depth if config.max_depth > 0 else depth, 30)),
-            minInstancesPerNode=config.min_child_samples, subsamplingRate=config.subsample, seed=config.random_state, maxBins=MAX_BINS,
-            featureSubsetStrategy="all" if config.colsample_bytree >= 1 else str(config.colsample_bytree), cacheNodeIds=True,
-        )
-        rows = assembler.transform(train.select(*_features(active), target.alias("label of model")))
-        model = trees.fit(rows)
-        mean, std = rows.agg(F.avg("label of model"), F.stddev_pop("label of model")).first()
+    except BaseException:
+        rows.unpersist()
+        raise
+    target = F.col("target_rank").cast("double")
+    for low, high in known[2 * k :]:
+        target = F.least(F.greatest(target, F.lit(low)), F.lit(high))
+    return FitInput(rows, n, *zip(*active, strict=True), target, F.col("key of row"))
+
+
+def fit_and_predict(train: DataFrame, score: DataFrame, columns: Sequence[str], config: ModelConfig) -> tuple[DataFrame, FitDiagnostics]:
+    """Boosted trees (see boosting)."""
+    x = fit_input(train, columns, config)
+    try:
+        mean, std = x.rows.agg(F.avg(x.target), F.stddev_pop(x.target)).first()
+        model = fit(x.rows, x.active, x.lows, x.highs, x.target, x.key, config)
     finally:
-        train.unpersist()
-    key = ["date", "code"]
-    predicted = model.transform(assembler.transform(score.select(*key, *_features(active)))).select(*key, "model_score")
-    found = FitDiagnostics(n, len(columns), len(active), mean, std, MODEL_TYPE, model.getNumTrees)
-    return score.join(predicted, key), found
+        x.rows.unpersist()
+    return model.predict(score), FitDiagnostics(x.n, len(columns), len(x.active), mean, std, MODEL_TYPE, len(model.trees))
 
 
 def linear_score(weights: dict[str, float]) -> Scorer:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fs
 from ..functions import windows as fw
+from ..operators import boosting as bo
 from ..operators import features as ft
 from ..operators import metrics as mt
 from ..operators import model as md
@@ -654,6 +655,37 @@ scored AS (SELECT *, alpha_percentile - (0.05 * (coalesce(volatility_20_cs, 0) +
 placed AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY selection_score DESC, code) AS global_rank FROM scored)"""
 _LINEAR = {"momentum_20_cs": 1.0, "volume_ratio_20_cs": 0.5}
 
+_TREE = ("volatility_20_cs", "amihud_20_cs", "momentum_20_cs", "volume_ratio_20_cs")
+_GAIN = lambda g, n: f"power(greatest(abs({g}) - 0.1, 0), 2) / ({n} + 1.0)"
+
+
+@_query(
+    f"""{_RAW_SQL}, {_LABEL_SQL.format(source="raw")},
+ranked AS (SELECT *, {", ".join(f"{_float_rank(x.removesuffix('_cs'))} AS {x}" for x in _TREE)} FROM labelled), {_ELIGIBLE_SQL.format(source="ranked")},
+e AS (SELECT max(date_idx) - 6 AS last FROM panel),
+train AS (SELECT eligible.* FROM eligible, e WHERE eligible AND target_rank IS NOT NULL AND date_idx BETWEEN last - 119 AND last),
+clipped AS (SELECT *, least(greatest(target_rank, quantile_cont(target_rank, 0.01) OVER ()), quantile_cont(target_rank, 0.99) OVER ()) AS y FROM train),
+cells AS ({" UNION ALL ".join(f"SELECT '{x}' AS feature, {x} AS x, avg(y) OVER () - y AS g FROM clipped" for x in _TREE)}),
+ends AS (SELECT feature, min(x) AS low, max(x) AS high, sum(g) AS g, count(*) AS n, coalesce(sum(g) FILTER (x IS NULL), 0) AS mg, count(*) FILTER (x IS NULL) AS mn FROM cells GROUP BY feature),
+hist AS (SELECT feature, least(254, floor((x - low) / (high - low) * 255.0))::BIGINT AS bin, sum(cells.g) AS g, count(*) AS n FROM cells JOIN ends USING (feature) WHERE x IS NOT NULL GROUP BY ALL),
+sides AS (SELECT feature, bin, missing_left, ends.g, ends.n, sum(hist.g) OVER w + CASE WHEN missing_left THEN mg ELSE 0 END AS lg, sum(hist.n) OVER w + CASE WHEN missing_left THEN mn ELSE 0 END AS ln
+    FROM hist JOIN ends USING (feature), (VALUES (false), (true)) AS m(missing_left) WINDOW w AS (PARTITION BY feature, missing_left ORDER BY bin)),
+gains AS (SELECT *, {_GAIN("lg", "ln")} + {_GAIN("g - lg", "n - ln")} - {_GAIN("g", "n")} AS gain FROM sides WHERE ln >= 20 AND n - ln >= 20),
+best AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(gain, 9) DESC, bin, missing_left) AS i FROM gains WHERE gain > 0)
+SELECT feature, bin, missing_left, ln::BIGINT AS left_rows, round(gain, 5) AS gain FROM best WHERE i = 1"""
+)
+def gbt_first_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best first split of each of four features, all rows taking part."""
+    c = config()
+    c.model.subsample = c.model.colsample_bytree = 1.0
+    window = md.training_window(ft.build_features(panel(spark, sf_dir), c).frame, c)
+    x = md.fit_input(window.rows, _TREE, c.model)
+    found = bo.first_splits(x.rows, x.active, x.lows, x.highs, x.target, x.key, c.model)
+    x.rows.unpersist()
+    rows = [(x.active[s.feature], s.bin, s.missing_left, s.left[1], s.gain) for s in found if s]
+    return spark.createDataFrame(rows, "feature string, bin long, missing_left boolean, left_rows long, gain double").withColumn("gain", _rounded(F.col("gain"), 5))
+
+
 # each period's basket keeps members of the one before, so baskets are made one after the other
 _TOP_OF_HELD = _TOP_SQL.format(held="held").replace("FROM placed", "FROM {source}")
 _BACKTEST_SQL = f"""{_LINEAR_SQL},
