@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from ..config import AppConfig
 from ..sources.market import load_market_data, previous_codes
 from . import metrics
 from .features import PreparedData, build_features
-from .model import Scorer, fit_and_predict, fit_and_score
-from .selection import constrained_top_k, industry_cap
+from .model import LinearScore, Scorer, Span, checked_spans, day_counts, fit_and_predict, fit_and_score
+from .selection import chained_top_k, constrained_top_k, industry_cap, with_selection_score
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,15 @@ class BacktestResult:
 
 
 def score_dates(frame: DataFrame, config: AppConfig, start: str | None = None, end: str | None = None) -> list[tuple[str, int]]:
-    """(date, date_idx) of each period: from the first date with enough training
-    dates to the last with a known label, every rebalance_every_days; of these
-    within start and end the last max_periods (all if that is 0 or None)."""
-    days = [(r["date"].isoformat(), r["date_idx"]) for r in frame.select("date", "date_idx").distinct().orderBy("date_idx").collect()]
+    """(date, date_idx) of each period (see period_dates)."""
+    rows = frame.select("date", "date_idx").distinct().orderBy("date_idx").collect()
+    return period_dates([(r["date"].isoformat(), r["date_idx"]) for r in rows], config, start, end)
+
+
+def period_dates(days: Sequence[tuple[str, int]], config: AppConfig, start: str | None = None, end: str | None = None) -> list[tuple[str, int]]:
+    """Of all dates in order: from the first date with enough training dates to
+    the last with a known label, every rebalance_every_days; of these within start
+    and end the last max_periods (all if that is 0 or None)."""
     horizon = config.features.prediction_horizon
     first, stop = config.model.min_train_days + horizon + 1, len(days) - horizon - 1
     if stop <= first:
@@ -87,8 +94,8 @@ _HELD = ["date", "code", "industry", "candidate_position", "global_rank", "selec
 
 
 class CandidateSelector:
-    def __init__(self, config: AppConfig, scorer: Scorer = fit_and_predict) -> None:
-        self.config, self.scorer = config, scorer
+    def __init__(self, config: AppConfig, scorer: Scorer = fit_and_predict, fits_at_once: int = 4) -> None:
+        self.config, self.scorer, self.fits_at_once = config, scorer, fits_at_once
 
     def prepare(self, panel: DataFrame) -> PreparedData:
         return build_features(panel, self.config)
@@ -125,30 +132,46 @@ class CandidateSelector:
         return self.select_prepared(self.prepare_from_csv(spark, path), as_of, before)
 
     def backtest_prepared(self, prepared: PreparedData, start_date: str | None = None, end_date: str | None = None) -> BacktestResult:
-        """One fit per period over the persisted features. Only the basket
-        buffer runs from period to period: the driver carries its codes (top_k
-        at most); rows stay on executors, and all metrics are one aggregation."""
+        """All periods together over the persisted features: guards from one
+        aggregation by date, scores and ranks of all dates in one pass, metrics
+        likewise. Fits don't depend on each other and run `fits_at_once` at a
+        time. Only the baskets follow one another (see chained_top_k)."""
         lean = self._lean(prepared)
+        universe = None
         try:
-            dates = score_dates(lean.frame, self.config, start_date, end_date)
-            universes, baskets, results, before = [], [], [], None
-            for period, (date, _) in enumerate(dates):
-                result = self.select_prepared(lean, date, before)
-                results.append(result)
-                universes.append(result.scored_universe.withColumn("period", F.lit(period)))
-                baskets.append(result.candidates.withColumn("period", F.lit(period)))
-                before = result.codes
-            scored, held = reduce(DataFrame.unionByName, universes), reduce(DataFrame.unionByName, baskets)
-            periods = self._periods(scored, held).persist()
+            days = day_counts(lean.frame)
+            dates = period_dates([(d.date, d.at) for d in days], self.config, start_date, end_date)
+            scored = self._scored(lean, checked_spans(days, dates, self.config))
+            universe = with_selection_score(scored, self.config.selection).persist()
+            held = chained_top_k(universe, self.config.selection)
+            periods = self._periods(universe, held).persist()
             holdings = held.orderBy("date", "candidate_position").select(*_HELD).persist()
             summary = self._summary(periods)
             holdings.count()
-            for result in results:
-                result.release()
         finally:
             lean.frame.unpersist()
+            if universe is not None:
+                universe.unpersist()
         return BacktestResult(periods, holdings, summary)
 
+    def _scored(self, lean: PreparedData, spans: Sequence[Span]) -> DataFrame:
+        """The eligible rows of each span's score date, with model_score and period."""
+        spark = lean.frame.sparkSession
+        if isinstance(self.scorer, LinearScore):
+            numbered = spark.createDataFrame([(s.at, i) for i, s in enumerate(spans)], "date_idx int, period int")
+            rows = lean.frame.where("eligible").join(F.broadcast(numbered), "date_idx")
+            return rows.withColumn("model_score", self.scorer.value())
+
+        def scored(period: int) -> DataFrame:
+            # a pool each, so that under fair scheduling no fit waits for another's tasks
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit {period % self.fits_at_once}")
+            s = spans[period]
+            rows, _ = self.scorer(s.rows(lean.frame), s.scored_rows(lean.frame), lean.feature_columns, self.config.model)
+            return rows.withColumn("period", F.lit(period))
+
+        with ThreadPoolExecutor(self.fits_at_once) as pool:
+            return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(scored), range(len(spans))))
+
     @staticmethod
     def _periods(scored: DataFrame, held: DataFrame) -> DataFrame:
         by = ("period", "date")

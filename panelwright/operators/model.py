@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,15 +104,20 @@ def fit_and_predict(train: DataFrame, score: DataFrame, columns: Sequence[str],
     return model.predict(score), FitDiagnostics(x.n, len(columns), len(x.active), mean, std, MODEL_TYPE, len(model.trees))
 
 
-def linear_score(weights: dict[str, float]) -> Scorer:
-    """A fixed weighting of ranks (missing ones count 0) in place of a model."""
+@dataclass(frozen=True)
+class LinearScore:
+    """A Scorer: a fixed weighting of ranks (missing ones count 0) in place of a
+    model. Its value asks nothing of the training rows, so a backtest scores all
+    dates at once."""
+
+    weights: dict[str, float]
 
-    def of(train: DataFrame, score: DataFrame, columns: Sequence[str], config: ModelConfig) -> tuple[DataFrame, FitDiagnostics]:
-        value = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
-        n = train.count()
-        return score.withColumn("model_score", value), FitDiagnostics(n, len(weights), len(weights), 0.0, 0.0, "linear", 0)
+    def value(self) -> Column:
+        return sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in self.weights.items()), F.lit(0.0))
 
-    return of
+    def __call__(self, train: DataFrame, score: DataFrame, columns: Sequence[str], config: ModelConfig) -> tuple[DataFrame, FitDiagnostics]:
+        k = len(self.weights)
+        return score.withColumn("model_score", self.value()), FitDiagnostics(train.count(), k, k, 0.0, 0.0, "linear", 0)
 
 
 @dataclass(frozen=True)
@@ -125,45 +131,97 @@ class Scored:
 
 
 @dataclass(frozen=True)
-class TrainingWindow:
-    """The rows that a model of (date, at) may be trained on: dates first to last."""
+class Span:
+    """The places in the calendar of the dates that a model of (date, at) may learn from."""
 
-    rows: DataFrame
     date: str
     at: int
     first: int
     last: int
 
+    def rows(self, frame: DataFrame) -> DataFrame:
+        return frame.where(F.col("date_idx").between(self.first, self.last) & F.col("eligible") & F.col("target_rank").isNotNull())
 
-def training_window(frame: DataFrame, config: AppConfig, as_of: str | None = None) -> TrainingWindow:
-    """Eligible rows with a target, of the last train_lookback_days dates whose
-    labels are known by the score date (the last one ends horizon + 1 earlier)."""
+    def scored_rows(self, frame: DataFrame) -> DataFrame:
+        return frame.where((F.col("date_idx") == self.at) & F.col("eligible"))
+
+    def check(self, known: int, eligible: int, config: ModelConfig) -> None:
+        if known < config.min_train_rows:
+            raise ValueError(f"{known} training rows before {self.date}; {config.min_train_rows} are needed")
+        if not eligible:
+            raise ValueError(f"nothing is eligible on {self.date}")
+
+
+def training_span(config: AppConfig, date: str, at: int) -> Span:
+    """The last train_lookback_days dates whose labels are known by the score date
+    (the last one ends horizon + 1 earlier)."""
     m = config.model
-    date, at = as_of_index(frame, as_of)
     last = at - config.features.prediction_horizon - 1
     if last < 0:
         raise ValueError(f"no label is known by {date}")
     first = max(0, last - m.train_lookback_days + 1)
     if last - first + 1 < m.min_train_days:
         raise ValueError(f"{last - first + 1} training dates before {date}; {m.min_train_days} are needed")
-    rows = frame.where(F.col("date_idx").between(first, last) & F.col("eligible") & F.col("target_rank").isNotNull())
-    return TrainingWindow(rows, date, at, first, last)
+    return Span(date, at, first, last)
+
+
+@dataclass(frozen=True)
+class TrainingWindow:
+    """The rows that a model of (date, at) may be trained on: dates first to last."""
+
+    rows: DataFrame
+    date: str
+    at: int
+    first: int
+    last: int
+
+
+def training_window(frame: DataFrame, config: AppConfig, as_of: str | None = None) -> TrainingWindow:
+    """Eligible rows with a target, of the training_span of the last date up to as_of."""
+    span = training_span(config, *as_of_index(frame, as_of))
+    return TrainingWindow(span.rows(frame), span.date, span.at, span.first, span.last)
+
+
+@dataclass(frozen=True)
+class Day:
+    """A date's place in the calendar, its rows to learn from and to score."""
+
+    date: str
+    at: int
+    known: int
+    eligible: int
+
+
+def day_counts(frame: DataFrame) -> list[Day]:
+    """All dates in order: one aggregation, a row per date."""
+    eligible = F.col("eligible")
+    known = F.count_if(eligible & F.col("target_rank").isNotNull())
+    rows = frame.groupBy("date", "date_idx").agg(known.alias("known"), F.count_if(eligible).alias("eligible")).orderBy("date_idx").collect()
+    return [Day(r["date"].isoformat(), r["date_idx"], r["known"], r["eligible"]) for r in rows]
+
+
+def checked_spans(days: Sequence[Day], dates: Sequence[tuple[str, int]], config: AppConfig) -> list[Span]:
+    """The training_span of each of these dates; the rows in each come from
+    running sums over the days, so no window is read for its guards."""
+    eligible, before = {d.at: d.eligible for d in days}, [0] * (days[-1].at + 2)
+    for d in days:
+        before[d.at + 1] = d.known
+    before = list(accumulate(before))
+    spans = [training_span(config, date, at) for date, at in dates]
+    for s in spans:
+        s.check(before[s.last + 1] - before[s.first], eligible[s.at], config.model)
+    return spans
 
 
 def fit_and_score(prepared: PreparedData, config: AppConfig, as_of: str | None = None, scorer: Scorer = fit_and_predict) -> Scored:
     """Trains on the window of the score date, scores its eligible rows."""
     frame, m = prepared.frame, config.model
-    w = training_window(frame, config, as_of)
-    window, date, at, first, last = w.rows, w.date, w.at, w.first, w.last
-    today = frame.where((F.col("date_idx") == at) & F.col("eligible"))
+    s = training_span(config, *as_of_index(frame, as_of))
     # what the guards and the report ask, in one pass over the dates from the window to the score date
     day = lambda i: F.date_format(F.max(F.when(F.col("date_idx") == i, F.col("date"))), "yyyy-MM-dd")
-    trains = (F.col("date_idx") <= last) & F.col("target_rank").isNotNull()
-    facts = (F.count_if(F.col("eligible") & trains), F.count_if(F.col("eligible") & (F.col("date_idx") == at)), day(first), day(last))
-    known, eligible, start, end = frame.where(F.col("date_idx").between(first, at)).agg(*(x.alias(f"x{i}") for i, x in enumerate(facts))).first()
-    if known < m.min_train_rows:
-        raise ValueError(f"{known} training rows before {date}; {m.min_train_rows} are needed")
-    if not eligible:
-        raise ValueError(f"nothing is eligible on {date}")
-    rows, diagnostics = scorer(window, today, prepared.feature_columns, m)
-    return Scored(with_selection_score(rows, config.selection), diagnostics, date, start, end, last - first + 1)
+    trains = (F.col("date_idx") <= s.last) & F.col("target_rank").isNotNull()
+    facts = (F.count_if(F.col("eligible") & trains), F.count_if(F.col("eligible") & (F.col("date_idx") == s.at)), day(s.first), day(s.last))
+    known, eligible, start, end = frame.where(F.col("date_idx").between(s.first, s.at)).agg(*(x.alias(f"x{i}") for i, x in enumerate(facts))).first()
+    s.check(known, eligible, m)
+    rows, diagnostics = scorer(s.rows(frame), s.scored_rows(frame), prepared.feature_columns, m)
+    return Scored(with_selection_score(rows, config.selection), diagnostics, s.date, start, end, s.last - s.first + 1)

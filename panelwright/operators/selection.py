@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,6 +67,53 @@ def constrained_top_k(ranked: DataFrame, config: SelectionConfig, previous: Iter
     return df.withColumn("selection_reason", reason).drop("kept over", "in industry", "capped", "turn", "accepted")
 
 
+def contenders(ranked: DataFrame, config: SelectionConfig, by: str = "period") -> DataFrame:
+    """The rows that can be in a basket of constrained_top_k, whichever codes were
+    held before: at most max(buffer, 2 k) + 2 k of each value of `by`.
+
+    Who is kept over is within the buffer. Who else is accepted is among the first
+    `cap` of its industry, and is preceded there by at most k accepted ones and
+    the at most k that kept ones push over a cap. Who fills a basket up is among
+    the first 2 k of all."""
+    k, cap = config.top_k, industry_cap(config)
+    buffer = math.ceil(k * config.buffer_exit_multiplier)
+    capped = F.row_number().over(W.partitionBy(by, "industry").orderBy("global_rank")) <= cap
+    df = ranked.withColumn("capped", capped)
+    turn = F.row_number().over(W.partitionBy(by, "capped").orderBy("global_rank"))
+    df = df.withColumn("turn", turn).where((F.col("global_rank") <= max(buffer, 2 * k)) | (F.col("capped") & (F.col("turn") <= 2 * k)))
+    return df.drop("capped", "turn")
+
+
+def _basket(rows: pd.DataFrame, held: Iterable[str], config: SelectionConfig) -> pd.DataFrame:
+    """constrained_top_k of one period's contenders."""
+    k, buffer = config.top_k, math.ceil(config.top_k * config.buffer_exit_multiplier)
+    rows = rows.assign(fresh=~(rows["code"].isin(held) & (rows["global_rank"] <= buffer))).sort_values(["fresh", "global_rank"])
+    capped = rows.groupby("industry", dropna=False).cumcount() < industry_cap(config)
+    rows["relaxed"] = ~(capped & (capped.cumsum() <= k))
+    rows["fresh"] |= rows["relaxed"]
+    rows = rows.sort_values(["relaxed", "fresh", "global_rank"]).head(k)
+    reason = np.select([rows["relaxed"], ~rows["fresh"]], ["industry_cap_relaxed", "buffer_keep"], "new_top_rank")
+    return rows.assign(selection_reason=reason, candidate_position=np.arange(1, len(rows) + 1))
+
+
+def chained_top_k(ranked: DataFrame, config: SelectionConfig) -> DataFrame:
+    """constrained_top_k of every period (a column), each with the codes of the
+    basket before it: rows with candidate_position and selection_reason added.
+
+    Only this chain runs in order, so only contenders come to the driver: codes,
+    industries and ranks, a number of rows that top_k and the periods bound. Keys
+    (period, code) are unique."""
+    thin = contenders(ranked, config).select("period", "code", "industry", "global_rank").toPandas()
+    baskets, held = [], ()
+    for _, rows in thin.groupby("period", sort=True):
+        baskets.append(_basket(rows, held, config))
+        held = baskets[-1]["code"]
+    columns = ["period", "code", "candidate_position", "selection_reason"]
+    found = [r for b in baskets for r in zip(*(b[c].tolist() for c in columns), strict=True)]
+    chosen = ranked.sparkSession.createDataFrame(found, "period int, code string, candidate_position int, selection_reason string")
+    return ranked.join(F.broadcast(chosen), ["period", "code"])
+
+
 def as_of_index(frame: DataFrame, as_of: str | None = None) -> tuple[str, int]:
     """(date, date_idx) of the last date of the data up to as_of."""
     days = frame.where(F.col("date") <= F.lit(as_of).cast("date")) if as_of else frame

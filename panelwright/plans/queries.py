@@ -715,7 +715,7 @@ _PERIOD = ("basket_forward_return", "basket_excess_return", "positive_excess_rat
 )
 def backtest_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The holdings, each with its period's metrics and the summary."""
-    selector = CandidateSelector(config(), md.linear_score(_LINEAR))
+    selector = CandidateSelector(config(), md.LinearScore(_LINEAR))
     found = selector.backtest_prepared(selector.prepare(panel(spark, sf_dir)))
     held = found.holdings.select(*_KEY, "industry", "candidate_position", "global_rank", *(_rounded(x, 6).alias(x) for x in ("selection_score", "forward_return")), "selection_reason")
     rows = held.join(_out(found.periods, "date", "candidate_count", "eligible_count", **{x: F.col(x) for x in _PERIOD}), "date")
@@ -736,7 +736,7 @@ _AT = "DATE '1997-06-30'"
 )
 def selection_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One date's selection with an earlier basket, and its diagnostics."""
-    selector = CandidateSelector(config(), md.linear_score(_LINEAR))
+    selector = CandidateSelector(config(), md.LinearScore(_LINEAR))
     found = selector.select_prepared(selector.prepare(panel(spark, sf_dir)), "1997-06-30", [str(i) for i in range(1, 41)])
     d = found.diagnostics
     rows = found.candidates.select(*_KEY, "industry", "candidate_position", "global_rank", _rounded("selection_score", 6).alias("selection_score"), "selection_reason")
