@@ -103,17 +103,20 @@ class CandidateSelector:
     def prepare_from_csv(self, spark: SparkSession, path: str) -> PreparedData:
         return self.prepare(load_market_data(spark, path, self.config))
 
-    @staticmethod
-    def _lean(prepared: PreparedData) -> PreparedData:
-        """The columns of the model, the reports and the metrics, persisted."""
-        wanted = dict.fromkeys([*prepared.feature_columns, *_NEEDED, *CANDIDATES, *UNIVERSE])
-        return PreparedData(prepared.frame.select(*(c for c in wanted if c in prepared.frame.columns)).persist(), prepared.feature_columns)
+    def _lean(self, prepared: PreparedData, report: Sequence[str]) -> PreparedData:
+        """The columns of the score, the report and the metrics, persisted. A fixed
+        score reads its own features only, so the ranks of the others aren't made."""
+        features = prepared.feature_columns
+        if isinstance(self.scorer, LinearScore):
+            features = [c for c in self.scorer.weights if c in prepared.frame.columns]
+        wanted = dict.fromkeys([*features, *_NEEDED, *report])
+        return PreparedData(prepared.frame.select(*(c for c in wanted if c in prepared.frame.columns)).persist(), features)
 
     def select_prepared(self, prepared: PreparedData, as_of: str | None = None, previous: Iterable[str] | None = None) -> SelectionResult:
         """Of one date. The columns that are needed are persisted while the model
         is fitted (guards, window and scores read them), and the scored universe
         for its results: it is at most the rows of that date."""
-        lean = prepared if prepared.frame.is_cached else self._lean(prepared)
+        lean = prepared if prepared.frame.is_cached else self._lean(prepared, (*CANDIDATES, *UNIVERSE))
         scored = fit_and_score(lean, self.config, as_of, self.scorer)
         universe = scored.rows.persist()
         eligible = universe.count()
@@ -136,7 +139,7 @@ class CandidateSelector:
         aggregation by date, scores and ranks of all dates in one pass, metrics
         likewise. Fits don't depend on each other and run `fits_at_once` at a
         time. Only the baskets follow one another (see chained_top_k)."""
-        lean = self._lean(prepared)
+        lean = self._lean(prepared, ("date", "code", "industry", "eligible"))
         universe = None
         try:
             days = day_counts(lean.frame)
