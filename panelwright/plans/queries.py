@@ -24,6 +24,7 @@ from ..operators.expressions import FeatureDefinition, compile_features
 from ..operators.screening import coverage, screen_feature_definitions, screening_window
 from ..sources import market as mk
 from ..sources import vendor as vd
+from ..sources.landed import LandedTable
 from .fixture import SQL, config, panel, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -353,6 +354,30 @@ def vendor_repeated_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ts_code", F.date_format("date", "yyyyMMdd").alias("trade_date"), "industry", "is_st", "adj_factor")
 
 
+def _shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (else the warehouse), deleted with the driver's JVM."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}-{uuid.uuid4().hex}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return at.toString()
+
+
+@_query(
+    "WITH o AS (SELECT *, strftime(o_orderdate, '%Y%m') AS month FROM orders) SELECT o_orderkey, month, CASE WHEN month IN ('199503', '199607') THEN o_totalprice + 1 ELSE o_totalprice END AS price,"
+    " CASE WHEN month = '199607' THEN o_orderpriority END AS note FROM o WHERE month BETWEEN '199502' AND '199712'", panel="no"
+)
+def landed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed by month, two months replaced (one with a new column), a range read."""
+    table = LandedTable(spark, _shared_path(spark, "landed"), "month")
+    rows = read(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyyMM"))
+    kept = rows.select("o_orderkey", "month", F.col("o_totalprice").alias("price"))
+    table.land(kept)
+    later = kept.withColumn("price", F.col("price") + 1)
+    table.land(later.where("month = '199503'"))
+    table.land(later.join(rows.select("o_orderkey", F.col("o_orderpriority").alias("note")), "o_orderkey").where("month = '199607'"))
+    return table.scan("199502", "199712")
+
+
 @_query(
     "x AS (SELECT date, date_idx, code, CASE WHEN cast(code AS INT) % 6 = 0 THEN 'UNKNOWN' ELSE industry END AS industry, open, close, CASE WHEN date_idx % 9 <> 0 THEN market_cap END AS market_cap,"
     " CASE WHEN date_idx % 4 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE AS adj_factor, close * CASE WHEN date_idx % 4 = 0 THEN 1.0 ELSE 2.0 END AS adj_close, listing_days, date_idx % 2 = 0 AS is_st, cast(code AS INT) % 2 = 1 AS is_suspended, has_valid_market_data FROM panel) SELECT * FROM x"
@@ -372,11 +397,9 @@ def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     c = config()
     c.data.date_col, c.data.code_col, c.data.industry_col = "day", "stock", "sector"
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/panel-{uuid.uuid4().hex}.csv")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    raw.write.option("header", True).csv(at.toString())
-    df = mk.standardise(mk.read_csv(spark, at.toString()), c.data)
+    at = _shared_path(spark, "panel")
+    raw.write.option("header", True).csv(at)
+    df = mk.standardise(mk.read_csv(spark, at), c.data)
     return df.select(*_KEY, "date_idx", "industry", "open", "close", "market_cap", "adj_factor", "adj_close", "listing_days", "is_st", "is_suspended", "has_valid_market_data")
 
 
