@@ -67,3 +67,28 @@ def test_definitions(tmp_path):
     assert load_feature_definitions(path)[0].to_dict().keys() == {"name", "expression", "rationale", "expected_direction", "source"}
     with pytest.raises(FileNotFoundError):
         load_feature_definitions(tmp_path / "none.json")
+
+
+def test_all_faults_of_a_candidate_and_who_came_first():
+    good = {"name": "ai_one", "expression": "lag(volume, 1)", "rationale": "Long enough."}
+    items = [
+        good | {"name": "One", "rationale": "short", "expression": "lag(volume, -1)"},
+        good,
+        good | {"name": "ai_two", "expression": " lag(volume,1) "},
+        good | {"expression": "lag(amount, 1)"},
+        good | {"name": "ai_two", "expression": "lag(amount, 1)", "expected_direction": " Positive ", "source": " "},
+        good | {"name": "ai_three", "expression": "delta(amount, 1)", "screening": []},
+        7,
+    ]
+    valid, rejected = parse_feature_candidates({"features": items})
+    assert [(d.name, d.expected_direction, d.source) for d in valid] == [("ai_one", "unknown", "deepseek"), ("ai_two", "positive", "deepseek")]
+    told = {r["index"]: r["reason"] for r in rejected}
+    assert set(told) == {0, 2, 3, 5, 6}
+    assert all(x in told[0] for x in ("name must", "rationale must", "window of lag"))
+    assert told[2] == "its expression is that of #1" and told[3] == "its name is that of #1" and told[5] == "screening must be an object"
+
+
+def test_limits_of_an_expression():
+    for text in ("", "  ", None, "volume" + " " * 600, "+".join(["volume"] * 90), "-" * 14 + "volume", "volume +"):
+        with pytest.raises(FeatureDefinitionError):
+            validate(text, DEFAULT_INPUTS)
