@@ -276,6 +276,18 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    "SELECT o_orderkey, cast(o_orderdate AS DATE) AS slashes, cast(o_orderdate AS DATE) AS day_first, cast(o_orderdate AS DATE) AS month_first, cast(o_orderdate AS DATE) AS short, cast(o_orderdate AS DATE) AS compact,"
+    " 'yyyy/M/d,d/M/yyyy,M/d/yyyy,yyyy-M-d,yyyy-MM-dd or yyyyMMdd' AS forms FROM orders", panel="no"
+)
+def date_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in five forms, each column read by the form found for it."""
+    patterns = {"slashes": "yyyy/MM/dd HH:mm:ss", "day_first": "dd/MM/yyyy", "month_first": "M/d/yyyy", "short": "yyyy-M-d", "compact": "yyyyMMdd"}
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", *(F.date_format("o_orderdate", p).alias(c) for c, p in patterns.items()))
+    forms = {c: mk.date_form(rows, c) for c in patterns}
+    return rows.select("o_orderkey", *(mk.date_in(F.col(c), form).alias(c) for c, form in forms.items()), F.lit(",".join(forms.values())).alias("forms"))
+
+
 @_query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", panel="no")
 def dup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mk.repeated_keys(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")

@@ -37,6 +37,40 @@ def parsed_date(x: Column) -> Column:
     return F.coalesce(F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"), F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd")))
 
 
+# Forms of dates, beside those that parsed_date reads. Days and months may lack a zero; a time may follow.
+DATE_FORMS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy", "d MMM yyyy", "MMM d yyyy")
+ISO = "yyyy-MM-dd or yyyyMMdd"
+
+
+def date_in(x: Column, form: str) -> Column:
+    """x read by one form, else NULL."""
+    if form == ISO:
+        return parsed_date(x)
+    text = F.regexp_replace(F.trim(x.cast("string")), r"[T ]+[0-9]{1,2}:[0-9:.]+Z?$", "")
+    return F.try_to_date(text, form)
+
+
+def date_form(df: DataFrame, column: str) -> str:
+    """The one form in which all cells of a column (but NULLs) are dates; one
+    aggregation counts what each form reads. ValueError where none reads all, so
+    that a column of mixed forms is refused, and where two do, day first and month
+    first, and differ in a date."""
+    x, forms = F.col(f"`{column}`"), (ISO, *DATE_FORMS)
+    read = [date_in(x, form) for form in forms]
+    swapped = [(i, forms.index(f"M{f[1]}d{f[3:]}")) for i, f in enumerate(forms) if f.startswith(("d/M", "d-M"))]
+    differ = [F.count_if(read[i] != read[j]) for i, j in swapped]
+    n, *counts = df.agg(*(c.alias(f"x{i}") for i, c in enumerate((F.count(x), *(F.count(r) for r in read), *differ)))).first()
+    whole = [i for i, k in enumerate(counts[: len(forms)]) if k == n]
+    if not whole:
+        best = max(range(len(forms)), key=counts.__getitem__)
+        odd = df.where(x.isNotNull() & read[best].isNull()).select(x).limit(5).collect()
+        raise ValueError(f"dates that can't be read: {[r[0] for r in odd]}" + (f" (the others are {forms[best]})" if counts[best] else ""))
+    for (i, j), k in zip(swapped, counts[len(forms) :], strict=True):
+        if k and {i, j} <= set(whole):
+            raise ValueError(f"dates of {column} can be {forms[i]} or {forms[j]}; name the form")
+    return forms[whole[0]]
+
+
 def normal_code(x: Column) -> Column:
     """Trimmed; one to six digits are filled with zeros to six."""
     text = F.trim(x.cast("string"))
@@ -82,17 +116,20 @@ def with_calendar(df: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     return df.join(F.broadcast(days), "date")
 
 
-def standardise(raw: DataFrame, config: DataConfig | None = None, check: bool = True) -> DataFrame:
+def standardise(raw: DataFrame, config: DataConfig | None = None, check: bool = True, date_format: str = ISO) -> DataFrame:
     """The canonical panel of a frame with date, code, open, high, low, close,
     volume, amount and any optional columns; others pass through. check: reject
-    bad dates, empty codes and unknown flags (one pass), and duplicate keys."""
+    bad dates, empty codes and unknown flags (one pass), and duplicate keys. Dates
+    that aren't all of date_format are read in the one form that fits them all,
+    if check is set (see date_form; a further pass)."""
     names = config or DataConfig()
     if missing := [c for c in (names.date_col, names.code_col, *REQUIRED) if c not in raw.columns]:
         raise ValueError(f"missing columns: {missing}")
     renamed = {names.date_col: "date", names.code_col: "code"} | ({names.industry_col: "industry"} if names.industry_col in raw.columns else {})
     df = raw.withColumnsRenamed(renamed)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    typed = df.withColumns({"date": parsed_date(F.col("date")), "code": normal_code(F.col("code"))})
+    dated = lambda form: df.withColumns({"date": date_in(F.col("date"), form), "code": normal_code(F.col("code"))})
+    typed = dated(date_format)
     tokens = [c for c in FLAGS if c in kinds and not isinstance(kinds[c], (BooleanType, NumericType))]
     undated, uncoded = F.col("date").isNull(), F.col("code").isNull() | (F.col("code") == "")
     odd = {c: F.col(c).isNotNull() & number(F.col(c)).isNull() for c in tokens}
@@ -102,7 +139,9 @@ def standardise(raw: DataFrame, config: DataConfig | None = None, check: bool =
         # all faults are counted in one pass; examples are fetched only of those there are
         counts = typed.agg(F.count_if(undated), F.count_if(uncoded), *(F.count_if(x[c]) for c in tokens for x in (odd, strange))).first()
         if counts[0]:
-            raise ValueError(f"dates that can't be read: {[r[0] for r in df.where(parsed_date(F.col('date')).isNull()).select('date').limit(5).collect()]}")
+            if lacking := df.where(F.col("date").isNull()).limit(5).collect():
+                raise ValueError(f"dates that can't be read: {[r['date'] for r in lacking]}")
+            typed = dated(date_form(df, "date"))
         if counts[1]:
             raise ValueError(f"rows without a code: {[tuple(r) for r in typed.where(uncoded).select('date', 'code').limit(5).collect()]}")
         unknown = []
