@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.operators import features as ft
 from panelwright.plans import fixture, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -15,6 +16,20 @@ def test_lines_are_shuffled_and_sorted_once(spark):
     assert "Exchange hashpartitioning(l_suppkey" not in plan
 
 
+def test_dates_are_dealt_to_tasks_in_turn(spark):
+    frame = ft.build_features(fixture.panel(spark, DATA), fixture.config()).frame
+    dates = frame.select("date", F.spark_partition_id().alias("task")).distinct().groupBy("task").count()
+    most, n = dates.agg(F.max("count"), F.sum("count")).first()
+    assert most == -(-n // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def test_training_dates_are_filtered_before_they_are_ranked(spark):
+    frame = ft.build_features(fixture.panel(spark, DATA), fixture.config()).frame
+    plan = frame.where("date_idx BETWEEN 3 AND 9").select("code", "target_rank")._jdf.queryExecution().optimizedPlan().toString()
+    dealt, held = (next(i for i, line in enumerate(plan.splitlines()) if x in line) for x in ("Repartition", "<= 9"))
+    assert held > dealt  # further down the plan
+
+
 @pytest.mark.parametrize("digits", [2, 4])
 def test_sums_in_units_are_those_of_decimals(spark, digits):
     values = [[0.005, 1.015, -2.675, 3.1], [9.0e13, 9.0e13 + 0.25, 3e12], [-9.0e13, -1.25, 1e-4], [None, 7.5], [None]]
