@@ -38,3 +38,8 @@ def test_sums_in_units_are_those_of_decimals(spark, digits):
     found = df.groupBy("g").agg(high.alias("h"), low.alias("l"), F.sum(F.col("x").cast(f"decimal(18,{digits})")).cast("double").alias("want"))
     rows = found.select("want", fixture._of_units("h", "l", digits).alias("got")).collect()
     assert len(rows) == 5 and all(r["got"] == r["want"] for r in rows)
+
+
+@pytest.mark.parametrize("query", [queries.vendor_standardise, queries.vendor_repeated_masters])
+def test_vendor_frames_are_read_from_one_landed_panel(spark, query):
+    assert not [f for f in query(spark, DATA).inputFiles() if "lineitem" in f]
