@@ -142,17 +142,30 @@ def repeated_windows(groups: list[list[bytes]], length: int = LENGTH) -> list[li
     return out
 
 
-def _held(begin: np.ndarray, count: np.ndarray) -> bytes:
-    """Where a block's runs begin, and their windows, kept with the block."""
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.diff(begin, prepend=0), count]).astype(np.int32).tobytes())
+def _held(joined: bytes, sizes: np.ndarray, length: int, gram: int) -> bytes:
+    """What is kept with a block, so that its text is cut into runs once: where they
+    begin and their windows, then each one's k-gram and the hash of the whole run."""
+    begin, count, key = runs(np.frombuffer(joined, np.uint8), sizes, length, gram)
+    of = xxhash.xxh64_intdigest
+    whole = np.fromiter((of(joined[a:z]) for a, z in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)), np.uint64, len(begin))
+    places = zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.diff(begin, prepend=0), count]).astype(np.int32).tobytes())
+    return np.int64(len(places)).tobytes() + places + key.astype(np.uint64).tobytes() + whole.tobytes()
 
 
 def _from_held(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32).astype(np.int64)
+    """(begin, windows) of each run."""
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]), np.int32).astype(np.int64)
     half = len(both) // 2
     return np.cumsum(both[:half]), both[half:]
 
 
+def _hashes(data: bytes) -> np.ndarray:
+    """The k-grams of the runs, and the hashes of the whole runs: two rows."""
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.frombuffer(data[8 + size :], np.int64).reshape(2, -1)
+
+
 def _batch(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
@@ -166,7 +179,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: i
     (doc_id, text). Null text counts as empty; repeated rows are documents of
     their own, and so remove each other; texts shorter than `length` lose nothing.
     Texts are read whole; a longer one than a block is a block of its own. No rows: no rows."""
-    name = packed(docs, block_bytes, lambda joined, sizes: _held(*runs(np.frombuffer(joined, np.uint8), sizes, length, gram)[:2]))
+    name = packed(docs, block_bytes, lambda joined, sizes: _held(joined, sizes, length, gram))
     with dropped(docs.sparkSession, name) as blocks:
         return _deduplicated(blocks, length, gram, many)
 
@@ -176,17 +189,14 @@ def _deduplicated(blocks: DataFrame, length: int, gram: int, many: int) -> DataF
 
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, sizes, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                joined = b"".join(unpack(sizes, text))
-                begin, count, key = runs(np.frombuffer(joined, np.uint8), np.frombuffer(sizes, np.int64), length, gram)
-                of = xxhash.xxh64_intdigest
-                whole = np.fromiter((of(joined[a:z]) for a, z in zip(begin.tolist(), (begin + count + length - 1).tolist(), strict=True)), np.uint64, len(begin))
+            for block, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key, whole = _hashes(extra)
                 yield _batch(
-                    [_signed(key), _signed(whole), np.full(len(begin), block), np.arange(len(begin), dtype=np.int32)],
+                    [key, whole, np.full(len(key), block), np.arange(len(key), dtype=np.int32)],
                     [pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["gram", "whole", "block", "run"],
                 )
 
-    every = blocks.select("block", "sizes", "text").mapInArrow(list_runs, "gram long, whole long, block long, run int")
+    every = blocks.select("block", "extra").mapInArrow(list_runs, "gram long, whole long, block long, run int")
     # written, so that the join deals both of its sides and can split a frequent k-gram's
     grams = every.groupBy("gram").agg(F.count("*").alias("n"), (F.min("whole") < F.max("whole")).alias("mixed")).where("n > 1").select("gram", "mixed")
     met = stage(every.join(stage(grams, "grams"), "gram"), "runs")

@@ -65,3 +65,20 @@ def test_runs_hold_every_window_once(monkeypatch):
 
 def test_empty_table(spark):
     assert substrings.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_texts_are_cut_into_runs_once(spark, monkeypatch):
+    """What is kept with a block has all of its runs, so lists of runs read no text."""
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (0, 40, 300, 29, 500)]
+    joined, sizes = b"".join(texts), np.array([len(t) for t in texts])
+    begin, count, key = substrings.runs(np.frombuffer(joined, np.uint8), sizes, 30, 9)
+    held = substrings._held(joined, sizes, 30, 9)
+    for got, want in zip(substrings._from_held(held), (begin, count), strict=True):
+        np.testing.assert_array_equal(got, want)
+    found, whole = substrings._hashes(held)
+    np.testing.assert_array_equal(found.view(np.uint64), key)
+    bodies = [joined[a : a + n + 29] for a, n in zip(begin.tolist(), count.tolist(), strict=True)]
+    assert len(set(bodies)) == len(set(whole.tolist())) and len(whole) == len(bodies)
+    none = substrings._held(b"", np.array([0]), 30, 9)
+    assert substrings._hashes(none).shape == (2, 0) and len(substrings._from_held(none)[0]) == 0
